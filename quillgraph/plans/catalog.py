@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import units_queries
+
+_MODULES = (units_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in _MODULES for name, query in module.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.oracle_sql().items()}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .session import ensure_checkpoint_dir
@@ -18,6 +21,34 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _remove_written() -> None:
+    for spark, path in _written:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may have ended, and the folder with it
+            pass
+
+
+atexit.register(_remove_written)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written, compressed and by column, to the shared checkpoint folder.
+
+    For tables that are wide or read several times by different columns. The
+    files are removed when the interpreter ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def measured(df: DataFrame) -> tuple[int, int]:
     """Rows of ``df`` and an estimate of its bytes; ``df`` should be materialised."""
     width = F.lit(0).cast("long")
