@@ -27,6 +27,16 @@ SELECT item_id, 'no_boundary' FROM c WHERE list_max(list_transform(string_split(
 """
 
 
+#: Brute force over all pairs; fit for small tables.
+_P4 = """
+WITH v AS (SELECT id, CAST(min(embedding) AS DOUBLE[64]) AS e FROM entity_vector
+  WHERE id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY id),
+s AS (SELECT a.id, b.id AS neighbour, array_cosine_similarity(a.e, b.e) AS cosine FROM v a JOIN v b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, neighbour) AS place FROM s)
+"""
+
+
 def _canonical(column: str) -> str:
     wide = dedup.WIDE_FROM.replace("'", "''"), dedup.WIDE_TO.replace("'", "''")
     return f"regexp_replace(lower(translate({column}, '{wide[0]}', '{wide[1]}')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
@@ -40,6 +50,7 @@ g AS (SELECT triplet_id, min(triplet_id) OVER (PARTITION BY least(h, t), r, grea
     return {
         "p1_found": _P1,
         "p2_found": _P2,
+        "p4_found": _P4 + "SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM r WHERE place <= 10 AND cosine >= 0.9",
         "p6_found": coded + "SELECT keep_id, triplet_id FROM g WHERE triplet_id > keep_id",
         "p6_records": coded + "SELECT keep_id, count(*) AS copies FROM g GROUP BY keep_id",
     }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import components, dedup, mixing, splitting, tokens
+from . import canonical, components, dedup, mixing, neighbours, splitting, tokens
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,6 +26,26 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("group_id < id")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    typed = table(spark, folder, "entity_node").where("source = 'manual'")
+    return canonical.map_to_entries(typed, table(spark, folder, "standard_entity"))
+
+
+def p3_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Names that mean no entry, with the number of ids that bear them."""
+    typed = table(spark, folder, "entity_node").where("source = 'manual'")
+    none = p3_found(spark, folder).where("term_id = 0").select("id")
+    return typed.select("id", "name").distinct().join(none, "id").groupBy("name").agg(F.count(F.lit(1)).alias("n_ids"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.close_pairs(neighbours.nearest(table(spark, folder, "entity_vector")))
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "entity_vector"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     _, copies = dedup.collapse(table(spark, folder, "triplet"))
     return copies.select("keep_id", F.col("id").alias("triplet_id"))
@@ -60,5 +80,5 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = ("p1_found", "p1_chunks", "p2_found", "p6_found", "p6_records", "p8_ids", "p9_found", "p9_mix", "p9_shares")
+    names = ("p1_found", "p1_chunks", "p2_found", "p3_found", "p3_unmatched", "p4_found", "p4_neighbours", "p6_found", "p6_records", "p8_ids", "p9_found", "p9_mix", "p9_shares")
     return {name: globals()[name] for name in names}
