@@ -11,7 +11,6 @@ from __future__ import annotations
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
@@ -28,7 +27,6 @@ LEAST_SIMILARITY, MOST_EDITS, SHORTEST = 0.3, 0.4, 4
 LEAST_SHARE = 0.5
 
 
-@lru_cache(100_000)
 def plain(value: str | None) -> str:
     """Letters and numerals alone, in compatibility form and without case."""
     folded = unicodedata.normalize("NFKC", value or "").casefold()
@@ -77,7 +75,7 @@ class Matcher:
         for i, (_, _, parts) in enumerate(self.fuzzy):
             for part in parts:
                 self.by_token[part].append(i)
-        self.known: dict[str, tuple[float, float, int] | None] = {}
+        self.known: dict[str | None, tuple[float, float, int] | None] = {}
 
     def mention(self, text: str) -> tuple[float, float, int] | None:
         """(0, minus its length, term) of the best of the longest mentions that don't overlap."""
@@ -123,12 +121,12 @@ class Matcher:
 
     def match(self, value: str | None) -> tuple[float, float, int] | None:
         """Rank (less is better) and term of the entry that a value means; None if it means none."""
-        text = plain(value)
-        if text not in self.known:
+        if value not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            self.known[text] = (self.mention(text) or self.similar(text)) if text else None
-        return self.known[text]
+            text = plain(value)
+            self.known[value] = (self.mention(text) or self.similar(text)) if text else None
+        return self.known[value]
 
 
 def map_to_entries(values: DataFrame, entries: DataFrame, key: str = "id", name: str = "name", term: str = "term_id", main: str = "term", aliases: str = "aliases", per_pass: int = ENTRIES_PER_PASS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import canonical, components, dedup, mixing, neighbours, splitting, tokens
+from . import canonical, components, dedup, mixing, neighbours, scans, splitting, tokens, topics
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,6 +55,14 @@ def p6_records(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.collapse(table(spark, folder, "triplet"))[0]
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.noise_of_lines(table(spark, folder, "ocr_page")).distinct()
+
+
+def p7_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.repaired_pages(table(spark, folder, "ocr_page"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_column(table(spark, folder, "documents"))
 
@@ -79,6 +87,21 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares_reached(mixing.mix(sized, plan), sized, plan)
 
 
+def _areas(spark: SparkSession, folder: str) -> DataFrame:
+    return topics.areas_of(*[table(spark, folder, name) for name in ("documents", "subject_label", "subject_area")])
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _areas(spark, folder).select("doc_id", "area").distinct()
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and characters of each area; a document of several areas counts its characters by share."""
+    found = _areas(spark, folder)
+    sizes = table(spark, folder, "documents").select("doc_id", F.char_length("text").alias("chars"))
+    return found.join(sizes, "doc_id").groupBy("area").agg(F.countDistinct("doc_id").alias("n_docs"), F.round(F.sum(F.col("share") * F.col("chars"))).cast("long").alias("n_chars"))
+
+
 def queries() -> dict:
-    names = ("p1_found", "p1_chunks", "p2_found", "p3_found", "p3_unmatched", "p4_found", "p4_neighbours", "p6_found", "p6_records", "p8_ids", "p9_found", "p9_mix", "p9_shares")
+    names = ("p1_found", "p1_chunks", "p2_found", "p3_found", "p3_unmatched", "p4_found", "p4_neighbours", "p6_found", "p6_records", "p7_found", "p7_pages", "p8_ids", "p9_found", "p9_mix", "p9_shares", "p10_found", "p10_composition")
     return {name: globals()[name] for name in names}
