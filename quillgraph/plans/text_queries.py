@@ -288,7 +288,7 @@ FROM (SELECT item_id, any_value(metadata['file_name']) AS n FROM document_index
         "embedding_texts": "SELECT DISTINCT id, CASE WHEN coalesce(label, '') IN ('', 'Entity') THEN name ELSE name || ' ' || label END AS text FROM entity_node WHERE name IS NOT NULL",
         "scan_statistics": "SELECT file_hash, count(*) AS n_pages, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS n_chars FROM (SELECT DISTINCT page_id, file_hash, text FROM ocr_page) GROUP BY file_hash",
         "rate_spacing": "SELECT n_nationkey * 100 + 1 AS per_minute, round(greatest(0.01, 60.0::DOUBLE / (n_nationkey * 100 + 1) * 1.1::DOUBLE), 6) AS seconds FROM nation",
-        "formatted_times": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, CAST(floor(epoch(ts)) AS BIGINT) AS epoch_s FROM events",
+        "formatted_times": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS \"at\", CAST(floor(epoch(ts)) AS BIGINT) AS epoch_s FROM events",
         "props_parsed": "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events",
         "json_repaired": "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events",
         "json_extracted": "SELECT event_id, props AS found FROM events",
