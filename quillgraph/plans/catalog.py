@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries, search_queries, text_queries, units_queries, upkeep_queries
+from . import graph_queries, model_queries, search_queries, text_queries, units_queries, upkeep_queries
 
-_MODULES = (units_queries, graph_queries, text_queries, search_queries, upkeep_queries)
+_MODULES = (units_queries, graph_queries, text_queries, search_queries, upkeep_queries, model_queries)
 
 
 def queries() -> dict:
