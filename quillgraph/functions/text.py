@@ -150,7 +150,7 @@ def strip_fences(text: Column) -> Column:
     out = F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
     out = F.regexp_replace(out, r"(?is)<think>.*$", "")
     fenced = F.nullif(F.regexp_extract(out, r"(?s)```[a-zA-Z]*\s*\n?(.*?)```", 1), F.lit(""))
-    return F.trim(F.regexp_replace(F.coalesce(fenced, out), r"(?m)^[ \t]*//.*$\n?", ""))
+    return F.regexp_replace(F.regexp_replace(F.coalesce(fenced, out), r"(?m)^[ \t]*//.*$\n?", ""), r"^\s+|\s+$", "")
 
 
 def is_noise(text: Column, shortest: int = 50, letters: str = _CJK, short: int = 200, least_short: float = 0.30, least_long: float = 0.20) -> Column:

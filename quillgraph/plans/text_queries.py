@@ -274,7 +274,7 @@ FROM entity_node WHERE name <> '') WHERE reason IS NOT NULL""",
         "remove_modifiers": f"SELECT triplet_id, {mods} AS tail FROM triplet",
         "normalize_names": f"""SELECT id, CASE WHEN name <> '' THEN coalesce(CASE c {synonyms} END, CASE WHEN {lens} <> '' THEN CAST(CAST(trunc(CAST({lens} AS DOUBLE) * 100) AS BIGINT) AS VARCHAR) || '度' END, c) ELSE name END AS name
 FROM (SELECT DISTINCT id, name, {name('name')} AS c FROM entity_node)""",
-        "strip_fences": f"""SELECT page_id, md5(trim(regexp_replace(coalesce(nullif(regexp_extract(o, '(?s)```[a-zA-Z]*\\s*\\n?(.*?)```', 1), ''), o), '(?m)^[ \\t]*//.*$\\n?', '', 'g'), ' ')) AS digest
+        "strip_fences": f"""SELECT page_id, md5(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(o, '(?s)```[a-zA-Z]*\\s*\\n?(.*?)```', 1), ''), o), '(?m)^[ \\t]*//.*$\\n?', '', 'g'), '^\\s+|\\s+$', '', 'g')) AS digest
 FROM (SELECT page_id, {think} AS o FROM {pages})""",
         "noise_chunks": f"""SELECT DISTINCT item_id FROM document_index WHERE length(text) < 50 OR {cjk} / greatest(length(text), 1) < CASE WHEN length(text) <= 200 THEN 0.30 ELSE 0.20 END""",
         "injection_suspects": """SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(;\\s*(match|create|delete|drop|merge)\\b|\\bdetach\\s+delete\\b|\\bdrop\\s+(constraint|index)\\b|//|/\\*|\\bor\\s+1\\s*=\\s*1\\b|''\\s*or\\s*'')')""",

@@ -21,7 +21,7 @@ def files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENS
 def text_documents(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("txt", "md")) -> DataFrame:
     """(path, file_name, text, hash) of text files, one row each; text that is no UTF-8 has its bad bytes replaced."""
     f = files(spark, folder, extensions)
-    return f.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), F.decode("content", F.lit("UTF-8")).alias("text"), "hash")
+    return f.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), "hash")
 
 
 def allowed(kind: Column, extensions: tuple[str, ...] = EXTENSIONS) -> Column:

@@ -41,7 +41,7 @@ def save_deleted(deleted: DataFrame, path: str) -> None:
 def save_evaluation(rows: DataFrame, path: str) -> None:
     """A CSV with header; arrays as JSON text."""
     flat = [F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(c) for c, kind in rows.dtypes]
-    rows.select(*flat).write.mode("overwrite").option("header", "true").csv(path)
+    rows.select(*flat).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
 def control_row(documents: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
