@@ -28,9 +28,11 @@ REPLICAS, REPLICA_RATIO = 6, 1.2
 #: A list is left out if another chosen list is nearer to it than the vector by this factor.
 CROWDED = 1.6
 #: Lists that a query looks into at 500 lists, at most (grows with the root of their number), and the ratio for them.
-PROBES, PROBE_RATIO = 14, 1.4
+PROBES, PROBE_RATIO = 18, 1.4
 #: Members and queries of one task.
 MEMBER_BLOCK, QUERY_BLOCK = 8_192, 16_384
+#: Candidates beyond k that are scored again in double precision, so that rounding doesn't decide.
+SPARE = 6
 #: Neighbours of a centroid in the graph, and centroids kept in a search.
 DEGREE, BEAM = 24, 24
 
@@ -123,6 +125,7 @@ def choose_lists(graph: CentroidGraph, x: np.ndarray, probes: int) -> tuple[np.n
     valid = close > -2
     first = np.maximum(far[:, :1], 1e-6)
     query = valid & (far <= PROBE_RATIO * first)
+    query[:, : max(1, probes // 2)] = valid[:, : max(1, probes // 2)]  # a vector that is itself a centroid has no ratio to go by
     query[:, probes:] = False
     member = valid & (far <= REPLICA_RATIO * first)
     # No copy in a list that is much nearer to a list already chosen than to the vector.
@@ -144,16 +147,20 @@ def usable(vectors: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
 
 
 def _top(scores: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` greatest scores of each row; of equal ones the first."""
     if scores.shape[1] <= k:
-        return np.argsort(-scores, axis=1, kind="stable")
-    part = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    return np.take_along_axis(part, np.argsort(-np.take_along_axis(scores, part, 1), axis=1, kind="stable"), 1)
+        return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(scores, best, 1).min(axis=1)
+    for row in np.flatnonzero((scores >= least[:, None]).sum(1) > k):
+        best[row] = np.argsort(-scores[row], kind="stable")[:k]
+    return best
 
 
 def _within_list(k: int, dim: int):
-    def run(_, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows["asks"].to_numpy()
-        members, queries = rows[~asks], rows[asks]
+        members, queries = rows[~asks].sort_values("id"), rows[asks]
         if members.empty or queries.empty:
             return pd.DataFrame({"id": [], "near": [], "cosine": []})
         raw = _unpack(members["v"], dim).astype(np.float64)
@@ -165,8 +172,10 @@ def _within_list(k: int, dim: int):
         for s in range(0, len(queries), step):
             part = queries.iloc[s : s + step]
             q64 = _unit(_unpack(part["v"], dim).astype(np.float64))
-            best = _top(q64.astype(np.float32) @ m32.T, k + 1)
-            exact = np.einsum("bd,bkd->bk", q64, m64[best])
+            best = _top(q64.astype(np.float32) @ m32.T, k + 1 + SPARE)
+            exact = np.round(np.einsum("bd,bkd->bk", q64, m64[best]), 12)
+            order = np.lexsort((best, -exact), axis=1)
+            best, exact = np.take_along_axis(best, order, 1), np.take_along_axis(exact, order, 1)
             for name, row, score in zip(part["id"], ids[best], exact):
                 keep = row != name
                 names.append(name)

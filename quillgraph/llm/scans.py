@@ -190,9 +190,9 @@ class Counts:
 
 def _counted(tokens: list[str]) -> list[str]:
     """Grams that are counted: words, and pairs of neighbours with a letter or a confusable character."""
-    out = [t for t in tokens if len(t) > 1 or t.isalpha()]
+    out = [t for t in tokens if len(t) > 1 or t.isalpha() or t == "#"]
     for a, b in zip(tokens, tokens[1:]):
-        if (len(a) > 1 or a in _CJK_ALL) or (len(b) > 1 or b in _CJK_ALL):
+        if len(a) > 1 or a in _CJK_ALL or a == "#" or len(b) > 1 or b in _CJK_ALL or b == "#":
             out.append(f"{a}\x01{b}")
     return out
 
