@@ -86,13 +86,13 @@ class Features:
 
 
 def _scores(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
-    """Probabilities by sentence and area; features count by the root of their number in the sentence."""
-    total = np.zeros((n, weights.shape[1]), np.float32)
+    """Probabilities by sentence and area, 0 for a sentence without words; features count by the root of their number."""
+    total = np.full((n, weights.shape[1]), -np.inf, np.float32)
     if len(features):
         starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
         sums = np.add.reduceat(weights[features], starts, axis=0)
         total[where[starts]] = sums / np.sqrt(np.diff(np.r_[starts, len(where)]))[:, None]
-    return 1 / (1 + np.exp(-np.clip(total + bias, -30, 30)))
+    return np.where(np.isneginf(total), 0, 1 / (1 + np.exp(-np.clip(total + bias, -30, 30)))).astype(np.float32)
 
 
 def _by_sentence(features: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
