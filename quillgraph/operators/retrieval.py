@@ -127,3 +127,50 @@ def fuse(*rankings: DataFrame, key: str = "id", place: str = "place", k: int = 6
 
 def enrichment_text(name: Column, label: Column, source: Column, relation: Column) -> Column:
     return F.concat(name, F.lit(" （"), label, F.lit("） 与"), source, F.lit("存在"), relation, F.lit("关系"))
+
+
+def relation_rules(spark, purpose: str) -> DataFrame:
+    """(intent, rel): the relations that an intent allows for a purpose; GENERAL has none, which means all."""
+    rows = [(name, rel) for name, rels in vocab.RELATIONS[purpose].items() for rel in rels]
+    return spark.createDataFrame(rows, "intent string, rel string")
+
+
+def plan_paths(entities: DataFrame, counts: DataFrame, spark) -> DataFrame:
+    """(name, rel, direction, depth, priority) of the paths to follow for (name, intent), by ``density`` counts.
+
+    An intent has a path for each of its relations, at 0.9 where the entity has
+    the relation and at 0.6 else. GENERAL has one path by the relation that the
+    entity has most: 0.8 for treatments and causes, 0.7 for symptoms, 0.5 both
+    ways for any other.
+    """
+    rules = F.broadcast(relation_rules(spark, "paths"))  # fixed size
+    asked = entities.select("name", "intent").distinct()
+    have = counts.select("name", "rel").distinct().withColumn("_has", F.lit(True))
+    special = asked.join(rules, "intent").join(have, ["name", "rel"], "left")
+    named = special.select("name", "rel", F.lit("out").alias("direction"), F.lit(2).alias("depth"), F.when(F.col("_has"), 0.9).otherwise(0.6).alias("priority"))
+    by_rel = counts.groupBy("name", "rel").agg(F.sum("n").alias("n"))
+    top = by_rel.groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("m"), "rel")).alias("b")).select("name", F.col("b.rel").alias("rel"))
+    paths = vocab.RELATIONS["paths"]
+    strong, mild = F.col("rel").isin(paths["TREATMENT"] + paths["MECHANISM"]), F.col("rel").isin(paths["SYMPTOM"])
+    general = asked.where("intent = 'GENERAL'").join(top, "name").select(
+        "name", "rel", F.when(strong | mild, "out").otherwise("both").alias("direction"), F.lit(2).alias("depth"), F.when(strong, 0.8).when(mild, 0.7).otherwise(0.5).alias("priority")
+    )
+    return named.unionByName(general)
+
+
+def entities_of_hits(hits: DataFrame, key: str, text: str, named: str, words: list[str] = vocab.ENTITY_KEYWORDS) -> DataFrame:
+    """(key, entity, place): the name that a hit carries, then the keywords in its text, in the order of the list, once each."""
+    found = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.col(f"`{text}`"), w))
+    all_ = F.array_distinct(F.filter(F.concat(F.array(F.col(f"`{named}`")), F.coalesce(found, F.array().cast("array<string>"))), lambda x: x.isNotNull() & (x != "")))
+    return hits.select(F.col(f"`{key}`").alias("key"), F.posexplode(all_).alias("place", "entity")).select("key", "entity", "place")
+
+
+def by_index(candidates: DataFrame, scored: DataFrame, group: str, index: str = "place") -> DataFrame:
+    """Candidates with the scores that a ranker gave by their index; indexes out of range are dropped."""
+    return candidates.join(scored.select(group, index, "score"), [group, index])
+
+
+def prompt(question: Column, examples: list[tuple[str, str]], descriptions: dict[str, str], most: int = 8) -> Column:
+    """A classification prompt: what the classes are, up to ``most`` examples, the question."""
+    lines = [f"{name}: {text}" for name, text in descriptions.items()] + [f"Q: {q}\nA: {a}" for q, a in examples[:most]]
+    return F.concat(F.lit("\n".join(lines) + "\nQ: "), question, F.lit("\nA:"))

@@ -169,6 +169,29 @@ def merged_hits(spark, d):
     return a.unionByName(b).groupBy("id").agg(F.min("stage").alias("stage"))
 
 
+def _with_intent(spark, d):
+    """Heads of triplets, each with the intent that its first type stands for."""
+    kinds = {"疾病": "TREATMENT", "体征": "SYMPTOM", "Symptom": "SYMPTOM", "检查": "DIAGNOSIS", "Risk": "RISK_FACTOR"}
+    lookup = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return g.node_types(table(spark, d, "triplet")).select("name", F.coalesce(F.try_element_at(lookup, "type"), F.lit("GENERAL")).alias("intent"))
+
+
+def path_plan(spark, d):
+    edges, types = g.edges_of(table(spark, d, "triplet")), g.node_types(table(spark, d, "triplet"))
+    return r.plan_paths(_with_intent(spark, d), g.density(edges, types), spark).groupBy("name", "direction", "priority").agg(F.count(F.lit(1)).alias("n_paths"))
+
+
+def intent_relations(spark, d):
+    """Edges that each intent's neighbour filter lets through."""
+    edges = g.edges_of(table(spark, d, "triplet"))
+    return edges.join(F.broadcast(r.relation_rules(spark, "neighbours")), "rel").groupBy("intent", "rel").agg(F.count(F.lit(1)).alias("n"))
+
+
+def hit_entities(spark, d):
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text", "source")
+    return r.entities_of_hits(docs, "doc_id", "text", "source").select(F.col("key").alias("doc_id"), "entity", "place")
+
+
 def _asked(spark, d):
     return table(spark, d, "embeddings").where("vec_id % 50 = 0")
 
@@ -272,6 +295,19 @@ FROM (SELECT id, name, CASE i {pick(0)} END AS w1, CASE i {pick(1)} END AS w2 FR
         "entity_linking": """SELECT id, term, place FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY length(term) DESC, term) AS place FROM (SELECT DISTINCT id, name FROM entity_node) n, (SELECT DISTINCT term FROM standard_entity) s WHERE contains(name, term)) WHERE place <= 10""",
         "hard_match": f"WITH {hard} SELECT name, text, score FROM m",
         "hard_match_injected": f"WITH {hard}, h AS (SELECT name || '（' || type || '）' AS text, 0.5::DOUBLE AS score FROM d WHERE type = '指标') SELECT text, max(score) AS score, 0 AS stage FROM m WHERE text NOT IN (SELECT text FROM h) GROUP BY text UNION ALL SELECT text, score, 1 FROM h",
+        "path_plan": f"""WITH {e}, x AS (SELECT triplet_id, 0 AS o, head AS name, nullif(trim(head_type), '') AS type FROM triplet UNION ALL SELECT triplet_id, 1, tail, nullif(trim(tail_type), '') FROM triplet),
+t AS (SELECT name, coalesce(arg_min(type, (triplet_id, o)) FILTER (type IS NOT NULL), 'Entity') AS type FROM x WHERE trim(name) <> '' GROUP BY name),
+a AS (SELECT name, CASE type WHEN '疾病' THEN 'TREATMENT' WHEN '体征' THEN 'SYMPTOM' WHEN 'Symptom' THEN 'SYMPTOM' WHEN '检查' THEN 'DIAGNOSIS' WHEN 'Risk' THEN 'RISK_FACTOR' ELSE 'GENERAL' END AS intent FROM t),
+r(intent, rel) AS (VALUES {", ".join(f"({q(i)}, {q(x)})" for i, rels in vocab.RELATIONS["paths"].items() for x in rels)}),
+c AS (SELECT src AS name, rel, count(*) AS n FROM e GROUP BY 1, 2), b AS (SELECT name, arg_min(rel, (-n, rel)) AS rel FROM c GROUP BY name),
+p AS (SELECT a.name, r.rel, 'out' AS direction, CASE WHEN c.n IS NOT NULL THEN 0.9 ELSE 0.6 END AS priority FROM a JOIN r USING (intent) LEFT JOIN c ON c.name = a.name AND c.rel = r.rel
+UNION ALL SELECT a.name, rel, CASE WHEN rel IN ({", ".join(map(q, vocab.RELATIONS["paths"]["TREATMENT"] + vocab.RELATIONS["paths"]["MECHANISM"] + vocab.RELATIONS["paths"]["SYMPTOM"]))}) THEN 'out' ELSE 'both' END,
+CASE WHEN rel IN ({", ".join(map(q, vocab.RELATIONS["paths"]["TREATMENT"] + vocab.RELATIONS["paths"]["MECHANISM"]))}) THEN 0.8 WHEN rel IN ({", ".join(map(q, vocab.RELATIONS["paths"]["SYMPTOM"]))}) THEN 0.7 ELSE 0.5 END FROM a JOIN b USING (name) WHERE intent = 'GENERAL')
+SELECT name, direction, CAST(priority AS DOUBLE) AS priority, count(*) AS n_paths FROM p GROUP BY 1, 2, 3""",
+        "intent_relations": f"""WITH {e}, r(intent, rel) AS (VALUES {", ".join(f"({q(i)}, {q(x)})" for i, rels in vocab.RELATIONS["neighbours"].items() for x in rels)})
+SELECT intent, rel, count(*) AS n FROM e JOIN r USING (rel) GROUP BY 1, 2""",
+        "hit_entities": f"""SELECT doc_id, l[i] AS entity, CAST(i - 1 AS INT) AS place FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id,
+list_concat(CASE WHEN source <> '' THEN [source] ELSE [] END, list_filter({lst(vocab.ENTITY_KEYWORDS)}, lambda w: contains(text, w))) AS l FROM documents WHERE text IS NOT NULL))""",
         "merged_hits": "SELECT id, min(stage) AS stage FROM (SELECT id, 1 AS stage FROM entity_vector UNION ALL SELECT left_id, 0 FROM alignment_pair UNION ALL SELECT right_id, 0 FROM alignment_pair) WHERE id IS NOT NULL GROUP BY id",
         "enrichment": f"""WITH {e}, b AS (SELECT src, rel, dst, 'out' AS d FROM e UNION SELECT dst, rel, src, 'in' FROM e), n AS (SELECT src, dst, rel, row_number() OVER (PARTITION BY src ORDER BY dst, rel, d) AS r FROM b WHERE rel IN ('导致', '并发', '见于')),
 x AS (SELECT triplet_id, 0 AS o, head AS name, nullif(trim(head_type), '') AS type FROM triplet UNION ALL SELECT triplet_id, 1, tail, nullif(trim(tail_type), '') FROM triplet),
@@ -293,7 +329,7 @@ SELECT id, round(sum(1.0::DOUBLE / (60 + p)), 9) AS score FROM (SELECT * FROM a
 def queries() -> dict:
     names = """paragraph_rows dynamic_sizes adjacent_similarity fold_chunks overlap_chunks small_chunk_merge long_items_split chunks cut_terms chunk_index document_nodes next_edges
     line_runs_limited chunk_metrics mentions inverted_index keyword_counts intent_scores intent_fallback query_rewrite keyword_entities entity_linking hard_match hard_match_injected
-    enrichment merged_hits cosine_topk rerank_funnel rank_fusion similar_pairs mean_pooled missing_embeddings retrieval_quality""".split()
+    enrichment path_plan intent_relations hit_entities merged_hits cosine_topk rerank_funnel rank_fusion similar_pairs mean_pooled missing_embeddings retrieval_quality""".split()
     return {n: globals()[n] for n in names}
 
 
