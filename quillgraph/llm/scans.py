@@ -95,7 +95,7 @@ def edge_lines(pages: DataFrame) -> DataFrame:
                 lines = text.split("\n")
                 for i in _edges(lines):
                     found = page_number(lines[i])
-                    if found and number == number:
+                    if found and not pd.isna(number):
                         rows.append((file, page, None, found[0], int(found[1] - number)))
                     elif not _ENDS.search(lines[i]) and not _TABLE.match(lines[i]) and 3 <= len(line_key(lines[i])) <= 80:
                         rows.append((file, page, line_key(lines[i]), None, None))
