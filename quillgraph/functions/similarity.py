@@ -34,11 +34,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text_similarity(a: Column, b: Column, terms: list[str]) -> Column:
     """Jaccard of the contained terms; of the characters if neither text contains one."""
-    left, right = terms_in(a, terms), terms_in(b, terms)
     characters = jaccard(F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, "")))
-    return F.when((F.size(left) == 0) & (F.size(right) == 0), characters).otherwise(jaccard(left, right))
+    both = F.struct(terms_in(a, terms).alias("l"), terms_in(b, terms).alias("r"))
+    return bound(both, lambda x: F.when((F.size(x["l"]) == 0) & (F.size(x["r"]) == 0), characters).otherwise(jaccard(x["l"], x["r"])))
 
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:

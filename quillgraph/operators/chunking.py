@@ -104,18 +104,21 @@ def cuts_by_priority(text: str, longest: int = LONGEST, overlap: int = 0, separa
 
 
 def split_long(df: DataFrame, key: list[str], text: str, longest: int = LONGEST, overlap: int = 0) -> DataFrame:
-    """(*key, piece, text): the rows with texts over ``longest`` in pieces, the others whole."""
-    slim = df.select(*[F.col(f"`{k}`") for k in key], F.col(f"`{text}`").alias("text"))
-    short = slim.where(F.char_length("text") <= longest).select(*key, F.lit(0).alias("piece"), "text")
+    """(*key, piece, text): the rows with texts over ``longest`` in pieces, the others whole; null texts give no rows.
+
+    All rows pass through the one Python stage, so that what made them isn't
+    computed once for the short ones and again for the long ones.
+    """
+    slim = df.select(*[F.col(f"`{k}`") for k in key], F.col(f"`{text}`").alias("text")).where("text is not null")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(*r[:-1], i, p) for r in b.itertuples(index=False, name=None) for i, p in enumerate(cuts_by_priority(r[-1], longest, overlap))]
-            yield pd.DataFrame(rows, columns=[*key, "piece", "text"])
+            cut = [cuts_by_priority(x, longest, overlap) if len(x) > longest else [x] for x in b["text"]]
+            out = b.loc[b.index.repeat([len(c) for c in cut])].drop(columns="text")
+            yield out.assign(piece=[i for c in cut for i in range(len(c))], text=[x for c in cut for x in c])
 
-    long = slim.where(F.char_length("text") > longest).mapInPandas(run, f"{kinds}, piece int, text string")
-    return short.unionByName(long)
+    return slim.mapInPandas(run, f"{kinds}, piece int, text string")
 
 
 def trim_cut_term(text: Column, terms: list[str] = CRITICAL_TERMS, valid: list[str] = VALID_PARTS) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..functions.similarity import bound
 
 #: Terms of a dictionary that one pass of ``mentions`` holds in memory.
 TERMS_PER_PASS = 50_000
@@ -55,7 +57,7 @@ def mentions(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str
 
 
 def _hits(text: Column, words: list[str]) -> Column:
-    return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)))
+    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
 
 
 def intent(text: Column) -> Column:
@@ -67,16 +69,19 @@ def intent(text: Column) -> Column:
         if boost:
             score = score + F.when(_hits(text, raising) > 0, boost).otherwise(0)
         scored.append(F.struct(score.alias("score"), F.lit(-priority).alias("p"), F.lit(name).alias("intent")))
-    best = F.array_max(F.array(*scored))
-    return F.when(best["score"] > 0, F.struct(best["intent"].alias("intent"), best["score"].alias("score"))).otherwise(F.struct(F.lit("GENERAL").alias("intent"), F.lit(0).alias("score")))
+    none = F.struct(F.lit("GENERAL").alias("intent"), F.lit(0).alias("score"))
+    return bound(F.array_max(F.array(*scored)), lambda b: F.when(b["score"] > 0, F.struct(b["intent"].alias("intent"), b["score"].alias("score"))).otherwise(none))
 
 
 def simple_intent(text: Column) -> Column:
     """(intent, confidence) by the fewer keywords, the first of the list on ties; GENERAL at 0.3."""
     scored = [F.struct(_hits(text, words).alias("score"), F.lit(-i).alias("p"), F.lit(name).alias("intent")) for i, (name, words) in enumerate(vocab.FALLBACK_KEYWORDS.items())]
-    best = F.array_max(F.array(*scored))
-    sure = F.round(F.least(0.3 + 0.15 * best["score"], F.lit(0.9)), 6)
-    return F.when(best["score"] > 0, F.struct(best["intent"].alias("intent"), sure.alias("confidence"))).otherwise(F.struct(F.lit("GENERAL").alias("intent"), F.lit(0.3).alias("confidence")))
+    none = F.struct(F.lit("GENERAL").alias("intent"), F.lit(0.3).alias("confidence"))
+
+    def sure(b: Column) -> Column:
+        return F.round(F.least(0.3 + 0.15 * b["score"], F.lit(0.9)), 6)
+
+    return bound(F.array_max(F.array(*scored)), lambda b: F.when(b["score"] > 0, F.struct(b["intent"].alias("intent"), sure(b).alias("confidence"))).otherwise(none))
 
 
 def rewrite(text: Column, intent_name: Column) -> Column:

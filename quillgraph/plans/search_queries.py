@@ -110,13 +110,11 @@ def keyword_counts(spark, d):
 
 
 def intent_scores(spark, d):
-    best = r.intent(F.col("text"))
-    return _docs(spark, d).select("doc_id", best["intent"].alias("intent"), best["score"].alias("score"))
+    return _docs(spark, d).select("doc_id", r.intent(F.col("text")).alias("b")).select("doc_id", "b.intent", F.coalesce("b.score", F.lit(0)).alias("score"))
 
 
 def intent_fallback(spark, d):
-    best = r.simple_intent(F.col("text"))
-    return _docs(spark, d).select("doc_id", best["intent"].alias("intent"), best["confidence"].alias("confidence"))
+    return _docs(spark, d).select("doc_id", r.simple_intent(F.col("text")).alias("b")).select("doc_id", "b.intent", "b.confidence")
 
 
 def query_rewrite(spark, d):
