@@ -310,7 +310,7 @@ list_concat(CASE WHEN source <> '' THEN [source] ELSE [] END, list_filter({lst(v
         "enrichment": f"""WITH {e}, b AS (SELECT src, rel, dst, 'out' AS d FROM e UNION SELECT dst, rel, src, 'in' FROM e), n AS (SELECT src, dst, rel, row_number() OVER (PARTITION BY src ORDER BY dst, rel, d) AS r FROM b WHERE rel IN ('导致', '并发', '见于')),
 x AS (SELECT triplet_id, 0 AS o, head AS name, nullif(trim(head_type), '') AS type FROM triplet UNION ALL SELECT triplet_id, 1, tail, nullif(trim(tail_type), '') FROM triplet),
 t AS (SELECT name, coalesce(arg_min(type, (triplet_id, o)) FILTER (type IS NOT NULL), 'Entity') AS type FROM x WHERE trim(name) <> '' GROUP BY name)
-SELECT DISTINCT src AS name, dst || ' （' || type || '） 与' || src || '存在' || rel || '关系' AS text, 0.3 AS score FROM n JOIN t ON t.name = n.dst WHERE r <= 10""",
+SELECT DISTINCT src AS name, dst || ' （' || type || '） 与' || src || '存在' || rel || '关系' AS text, 0.3::DOUBLE AS score FROM n JOIN t ON t.name = n.dst WHERE r <= 10""",
         "cosine_topk": f"WITH {near} SELECT query, id, cosine, place FROM n WHERE place <= 10",
         "rerank_funnel": f"""WITH {near}, k AS (SELECT n.query, n.id, n.place AS p, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS score FROM n JOIN embeddings a ON CAST(a.vec_id AS VARCHAR) = n.id JOIN embeddings b ON CAST(b.vec_id AS VARCHAR) = n.query WHERE n.place <= 50)
 SELECT query, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, p) AS place FROM k) WHERE place <= 3""",
