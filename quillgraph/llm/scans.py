@@ -19,12 +19,15 @@ from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sizing import broadcast_if_small, written
 from .canonical import edits
 
+#: Pages of a stretch; what runs near a page is looked for in its stretch and the two beside it.
+NEAR = 50
+
 #: Cells of each of the two rows of the count table, as a power of two.
 BITS = 21
 
@@ -85,42 +88,59 @@ def _edges(lines: list[str]) -> list[int]:
     return sorted({*full[:2], *full[-2:]})
 
 
+def _stretch() -> Column:
+    """The stretch of a page in its file; pages without a number have stretches of their own, by id."""
+    return F.coalesce(F.floor(F.col("page_number") / NEAR), F.lit(-10) - F.abs(F.floor(F.col("page_id") / NEAR)))
+
+
 def edge_lines(pages: DataFrame) -> DataFrame:
-    """(file_hash, page_id, page_number, key, style, offset) of the lines at heads and feet."""
+    """(file_hash, stretch, page_id, key, style, offset) of the lines at heads and feet."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for page, file, number, text in zip(b["page_id"], b["file_hash"], b["page_number"], b["text"]):
+            for page, file, stretch, number, text in zip(b["page_id"], b["file_hash"], b["stretch"], b["page_number"], b["text"]):
                 lines = text.split("\n")
                 for i in _edges(lines):
                     found = page_number(lines[i])
                     if found and not pd.isna(number):
-                        rows.append((file, page, None, found[0], int(found[1] - number)))
+                        rows.append((file, stretch, page, None, found[0], int(found[1] - number)))
                     elif not _ENDS.search(lines[i]) and not _TABLE.match(lines[i]) and 3 <= len(line_key(lines[i])) <= 80:
-                        rows.append((file, page, line_key(lines[i]), None, None))
-            yield pd.DataFrame(rows, columns=["file_hash", "page_id", "key", "style", "offset"]).astype({"offset": "Int64"})
+                        rows.append((file, stretch, page, line_key(lines[i]), None, None))
+            yield pd.DataFrame(rows, columns=["file_hash", "stretch", "page_id", "key", "style", "offset"]).astype({"offset": "Int64"})
 
-    return pages.where("file_hash is not null").mapInPandas(run, "file_hash string, page_id long, key string, style string, offset long")
+    return pages.where("file_hash is not null").withColumn("stretch", _stretch()).mapInPandas(run, "file_hash string, stretch long, page_id long, key string, style string, offset long")
 
 
-def running_lines(pages: DataFrame) -> DataFrame:
-    """(file_hash, keys, styles, offsets): the running lines of each file and how its pages are numbered.
+def running_lines(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(of files, of stretches): the running lines and how pages are numbered, (file_hash, keys, style, offset) and
+    (file_hash, stretch, near_keys, runs).
 
-    A key runs if at least two pages bear it, and one in fifty of the pages; so
-    a file has 200 keys at most, and its numbering is that of most pages.
+    A key or a numbering (style, offset) runs near a page if at least two pages
+    nearby bear it, however long the file is; for a page without a number, two
+    pages of the file. Of a whole file come the keys on two of its pages and on
+    one in fifty, 200 at most, and the numbering of most pages.
     """
     edges = written(edge_lines(pages))
     counts = pages.where("file_hash is not null").groupBy("file_hash").agg(F.count(F.lit(1)).alias("n"))
-    keys = edges.where("key is not null").select("file_hash", "key", "page_id").distinct().groupBy("file_hash", "key").agg(F.count(F.lit(1)).alias("c"))
-    keys = keys.where("c >= 2").join(counts, "file_hash").where("c * 50 >= n").groupBy("file_hash").agg(F.collect_list("key").alias("keys"))
+    borne = edges.where("key is not null").select("file_hash", "stretch", "key", "page_id").distinct()
+    twice = written(borne.groupBy("file_hash", "key").agg(F.count(F.lit(1)).alias("c")).where("c >= 2"))
+    keys = twice.join(counts, "file_hash").where("c * 50 >= n").groupBy("file_hash").agg(F.collect_list("key").alias("keys"))
     styles = edges.where("style is not null").groupBy("file_hash", "style", "offset").agg(F.count(F.lit(1)).alias("c"))
     top = styles.groupBy("file_hash").agg(F.max(F.struct("c", "style", "offset")).alias("t")).where("t.c >= 2").select("file_hash", F.col("t.style").alias("style"), F.col("t.offset").alias("offset"))
-    return keys.join(top, "file_hash", "full_outer")
+    beside = F.explode(F.array(*[F.col("stretch") + i for i in (-1, 0, 1)])).alias("stretch")
+    near = borne.join(twice, ["file_hash", "key"], "left_semi").select("file_hash", beside, "key").groupBy("file_hash", "stretch", "key").agg(F.count(F.lit(1)).alias("c"))
+    near = near.where("c >= 2 or stretch < 0").groupBy("file_hash", "stretch").agg(F.collect_list("key").alias("near_keys"))
+    runs = edges.where("style is not null").select("file_hash", beside, "style", "offset", "page_id").distinct().groupBy("file_hash", "stretch", "style", "offset").agg(F.count(F.lit(1)).alias("c"))
+    runs = runs.where("c >= 2").groupBy("file_hash", "stretch").agg(F.collect_list(F.struct("style", "offset")).alias("runs"))
+    return keys.join(top, "file_hash", "full_outer"), near.join(runs, ["file_hash", "stretch"], "full_outer")
 
 
-def kinds_of_lines(lines: list[str], number: int | None, keys: list[str], style: str | None, offset: int | None) -> list[str]:
-    """The kind of each line: header, page_no, other (blank, heading, table, fence) or body."""
+def kinds_of_lines(lines: list[str], number: int | None, keys: set[str], style: str | None, runs: set[tuple[str, int]]) -> list[str]:
+    """The kind of each line: header, page_no, other (blank, heading, table, fence) or body.
+
+    style: the numbering of most pages of the file, whose marks tell a number even if it is misread.
+    """
     out = []
     edges = set(_edges(lines))
     numbered = False
@@ -130,14 +150,14 @@ def kinds_of_lines(lines: list[str], number: int | None, keys: list[str], style:
             continue
         if i in edges:
             found = page_number(line)
-            if found and style is not None:
-                right = number is not None and offset is not None and found[1] == number + offset and found[0] == style
+            if found:
+                right = number is not None and (found[0], found[1] - number) in runs
                 if right or (found[0] == style and style not in ("#", "roman") and not numbered):
                     numbered = True
                     out.append("page_no")
                     continue
             key = line_key(line)
-            if not _ENDS.search(line) and len(key) >= 3 and any(_alike(key, k) for k in keys):
+            if not _ENDS.search(line) and len(key) >= 3 and (key in keys or any(_alike(key, k) for k in keys)):
                 out.append("header")
                 continue
         alone = line.strip()
@@ -404,8 +424,8 @@ def prepared(pages: DataFrame) -> DataFrame:
     """Distinct usable pages with the running lines of their file and the first body line of the next page."""
     slim = pages.select("page_id", "file_hash", "page_number", "text").where("page_id is not null and text is not null and text <> ''")
     base = written(slim.dropDuplicates(["page_id"]))
-    info = written(running_lines(base))
-    known = base.join(broadcast_if_small(info), "file_hash", "left")
+    of_file, of_stretch = (written(x) for x in running_lines(base))
+    known = base.withColumn("stretch", _stretch()).join(broadcast_if_small(of_file), "file_hash", "left").join(broadcast_if_small(of_stretch), ["file_hash", "stretch"], "left")
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -423,9 +443,11 @@ def prepared(pages: DataFrame) -> DataFrame:
 
 def _kinds(r, lines: list[str]) -> list[str]:
     number = None if pd.isna(r.page_number) else int(r.page_number)
-    keys = [] if r.keys is None else list(r.keys)
-    offset = None if pd.isna(r.offset) else int(r.offset)
-    return kinds_of_lines(lines, number, keys, r.style, offset)
+    keys = {k for own in (r.keys, r.near_keys) if own is not None for k in own}
+    runs = set() if r.runs is None else {(x["style"], x["offset"]) for x in r.runs}
+    if not pd.isna(r.offset):
+        runs.add((r.style, int(r.offset)))
+    return kinds_of_lines(lines, number, keys, r.style, runs)
 
 
 def _over_pages(pages: DataFrame, schema: str, make) -> DataFrame:

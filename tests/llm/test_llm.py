@@ -305,6 +305,16 @@ def test_noise_of_pages(spark):
     assert scans.noise_of_lines(pages.limit(0)).isEmpty()
 
 
+def test_running_lines_of_a_long_file(spark):
+    rows = []
+    for n in range(1, 601):
+        chapter = "".join(chr(97 + n // 5 // b % 25) * 4 for b in (1, 25))
+        number = ("i", "ii", "iii", "iv", "v", "vi")[n - 1] if n <= 6 else str(n - 6 if n <= 300 else n - 300)
+        rows.append((n, "f", n, f"chapter {chapter}\n这一部分暂时没有补充。\n下面逐条说明。\n其余从略。\n{number}"))
+    got = {(r["page_id"], r["line_no"], r["kind"]) for r in scans.noise_of_lines(spark.createDataFrame(rows, "page_id long, file_hash string, page_number int, text string")).collect()}
+    assert got == {(n, *line) for n in range(1, 601) for line in ((1, "header"), (5, "page_no"))}
+
+
 @pytest.mark.parametrize(("line", "wanted"), [("- l2 -", ("-#-", 12)), ("xiv", ("roman", 14)), ("Page 7", ("p#", 7)), ("3 / 25", ("#/", 3)), ("第 4O 页", ("第#页", 40)), ("| a | 3 |", None), ("第3章", None), ("", None)])
 def test_page_numbers(line, wanted):
     assert scans.page_number(line) == wanted
