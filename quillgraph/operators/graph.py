@@ -91,6 +91,18 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 3, direction
     return reduce(DataFrame.unionByName, found).withColumn("hops", F.size("rels"))
 
 
+def meta_paths(edges: DataFrame, pairs: DataFrame, relations: list[str], depth: int = 3, fallback: bool = True) -> DataFrame:
+    """(source, target, nodes, rels, hops, is_meta_path): a shortest path of each pair along ``relations`` alone.
+
+    With ``fallback``, pairs without one get a shortest path along any relation.
+    """
+    found = durable(shortest_paths(edges, pairs, depth, relations=relations).withColumn("is_meta_path", F.lit(True)))
+    if not fallback:
+        return found
+    rest = pairs.select("source", "target").distinct().join(found, ["source", "target"], "left_anti")
+    return found.unionByName(shortest_paths(edges, rest, depth).withColumn("is_meta_path", F.lit(False)))
+
+
 def degrees(edges: DataFrame, least: int = 1) -> DataFrame:
     """(name, degree): distinct edges out plus distinct edges in; a loop counts twice."""
     ends = both_ways(edges.distinct())
@@ -144,6 +156,22 @@ def community(edges: DataFrame, members: DataFrame, hops: int = 2, least: float
     return one.select("n_members", "n_pairs", F.round(value, 6).alias("density"), ((F.col("n_members") >= 3) & (value >= least)).alias("is_community"), F.array_join(F.transform("c", lambda x: x["name"]), ",").alias("core"))
 
 
+def community_paths(edges: DataFrame, members: DataFrame, hops: int = 2, least: float = 0.3, core: int = 5, most: int = 10) -> DataFrame:
+    """(source, target, nodes, rels, place): the connected pairs of a community's ``core`` best connected members as paths.
+
+    Pairs come in order of the members' places, ``most`` at most; members that
+    are no community have none.
+    """
+    pairs = durable(connected_within(edges, members, hops))
+    tight = community(edges, members, hops, least, core).where("is_community").select("is_community")  # one row at most
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("d"))
+    best = ends.orderBy(F.desc("d"), "name").limit(core).withColumn("p", F.row_number().over(W.orderBy(F.desc("d"), "name")))  # ``core`` rows
+    two = best.select(F.col("p").alias("p1"), F.col("name").alias("source")).join(best.select(F.col("p").alias("p2"), F.col("name").alias("target")), F.col("p1") < F.col("p2"))
+    linked = two.join(pairs, (F.least("source", "target") == F.col("a")) & (F.greatest("source", "target") == F.col("b")), "left_semi").crossJoin(tight)
+    ranked = linked.withColumn("place", F.row_number().over(W.orderBy("p1", "p2"))).where(F.col("place") <= most)
+    return ranked.select("source", "target", F.array("source", "target").alias("nodes"), F.array(F.lit("关联")).alias("rels"), "place")
+
+
 def groups(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(group_id, id): connected ids under the smallest of their group, by stars of smaller neighbours.
 

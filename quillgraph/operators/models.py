@@ -7,6 +7,7 @@ what fails for good becomes an error column, never a silent default.
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import zlib
@@ -33,6 +34,10 @@ class Extractor(Protocol):
     def extract(self, text: str) -> str: ...
 
 
+class Classifier(Protocol):
+    def classify(self, text: str) -> str: ...
+
+
 class Ocr(Protocol):
     def pages(self, content: bytes) -> list[str]: ...
 
@@ -72,12 +77,22 @@ class PatternExtractor:
         self.cut = re.compile(rf"([^\W\d_]{{2,12}}?)({'|'.join(relations)})([^\W\d_]{{2,12}})")
 
     def extract(self, text: str) -> str:
-        import json
-
         found = [{"head": a, "head_type": "", "relation": r, "tail": b, "tail_type": ""} for a, r, b in self.cut.findall(text or "")]
         return json.dumps(found, ensure_ascii=False)
 
 
+#: What a classifier calls the intents.
+INTENT_NAMES = {"治疗防控": "TREATMENT", "发病机制": "MECHANISM", "症状表现": "SYMPTOM", "诊断检查": "DIAGNOSIS", "预防保健": "PREVENTION", "并发症": "COMPLICATION", "风险因素": "RISK_FACTOR", "综合查询": "GENERAL"}
+
+
+class NameClassifier:
+    """The first intent whose name begins with two characters of the text, as a model would write it; nothing if there is none."""
+
+    def classify(self, text: str) -> str:
+        name = next((x for x in INTENT_NAMES if x[:2] in text), None)
+        return json.dumps({"intent": name, "confidence": 0.8, "reasoning": name[:2]}, ensure_ascii=False) if name else ""
+
+
 class PlainOcr:
     """Pages of text files, separated by form feeds."""
 
@@ -180,6 +195,62 @@ def extract(df: DataFrame, key: str, text: str, extractor: Extractor, tries: int
     return slim.mapInPandas(run, f"`{key}` {slim.schema[0].dataType.simpleString()}, said string, error string")
 
 
+def classify(df: DataFrame, key: str, text: str, classifier: Classifier | None, tries: int = 3) -> DataFrame:
+    """(key, intent, confidence, reasoning, by_model, error): the classifier's intent of each text; by keywords where it fails.
+
+    It fails if it raises or says no JSON object; an unknown intent is GENERAL,
+    a missing confidence 0.5. Null texts have no intent.
+    """
+    from .retrieval import simple_intent
+
+    kind = df.schema[key].dataType.simpleString()
+    slim = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("_t"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = retried(classifier.classify, tries) if classifier else None
+        for b in batches:
+            rows = []
+            for x in b["_t"]:
+                row = (None, None, None, None)
+                try:
+                    said = re.search(r"(?s)\{.*\}", call(x) or "") if call and x is not None else None
+                    if said:
+                        found = json.loads(said.group())
+                        row = (INTENT_NAMES.get(found.get("intent", "综合查询"), "GENERAL"), float(found.get("confidence", 0.5)), str(found.get("reasoning", "")), None)
+                except Exception as error:
+                    row = (None, None, None, f"{type(error).__name__}: {error}"[:200])
+                rows.append(row)
+            out = pd.DataFrame(rows, columns=["intent", "confidence", "reasoning", "error"])
+            yield pd.concat([b.reset_index(drop=True), out], axis=1)
+
+    said = slim.mapInPandas(run, f"`{key}` {kind}, _t string, intent string, confidence double, reasoning string, error string")
+    plain = F.when(F.col("_t").isNotNull(), simple_intent(F.col("_t")))
+    both = said.withColumn("_p", plain)
+    return both.select(f"`{key}`", F.coalesce("intent", "_p.intent").alias("intent"), F.coalesce("confidence", "_p.confidence").alias("confidence"), "reasoning", F.col("intent").isNotNull().alias("by_model"), "error")
+
+
+def low_relevance(nodes: DataFrame, reranker: Reranker, query: str = "医学实体", least: float = 0.15, batch: int = 50) -> DataFrame:
+    """(name, score, reason, error): names that a reranker finds of less than ``least`` relevance, a report that deletes nothing.
+
+    Names are scored ``batch`` at a time; those of a batch that fails have the error and no score.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            names = b["name"].tolist()
+            rows = []
+            for s in range(0, len(names), batch):
+                part = names[s : s + batch]
+                try:
+                    scores = [0.0 if x is None else float(x) for x in reranker.score(query, part)]
+                    rows += [(n, x, f"Low Semantic Score ({x:.4f})", None) for n, x in zip(part, scores, strict=True) if x < least]
+                except Exception as error:
+                    rows += [(n, None, None, f"{type(error).__name__}: {error}"[:200]) for n in part]
+            yield pd.DataFrame(rows, columns=["name", "score", "reason", "error"])
+
+    return nodes.select("name").where("name <> ''").distinct().mapInPandas(run, "name string, score double, reason string, error string")
+
+
 def read_scans(files: DataFrame, ocr: Ocr, key: str = "path", content: str = "content") -> DataFrame:
     """(key, text, n_pages): the pages of each file in order, joined by blank lines."""
     slim = files.select(F.col(f"`{key}`"), F.col(f"`{content}`").alias("_c"))

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..functions import vocab
-from ..functions.similarity import bound
+from ..functions.similarity import bound, sequence_ratio
+from ..sizing import broadcast_if_small
 
 #: Terms of a dictionary that one pass of ``mentions`` holds in memory.
 TERMS_PER_PASS = 50_000
@@ -56,6 +58,52 @@ def mentions(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str
     return out
 
 
+def closest_terms(names: DataFrame, terms: DataFrame, least: float = 0.8, slack: int = 4) -> DataFrame:
+    """(name, term_id, term, ratio): each name's term of nearly its length with the highest block ratio over ``least``.
+
+    Ties go to the smaller id. Only names and terms with a character in common
+    meet, and only those with enough of them are compared.
+    """
+    listed = terms.select("term_id", "term", F.split("term", "").alias("_t"))
+    own = names.select("name", F.split("name", "").alias("_n")).where("name <> ''").distinct()
+    met = own.withColumn("_c", F.explode(F.array_distinct("_n"))).join(broadcast_if_small(listed.withColumn("_c", F.explode(F.array_distinct("_t")))), "_c")
+    both = F.char_length("name") + F.char_length("term")
+    common = F.least(F.size(F.expr("filter(_n, c -> array_contains(_t, c))")), F.size(F.expr("filter(_t, c -> array_contains(_n, c))")))
+    close = met.where((F.abs(F.char_length("name") - F.char_length("term")) <= slack) & (2 * common >= least * both)).select("name", "term_id", "term").distinct()
+    rated = close.withColumn("ratio", F.round(sequence_ratio("name", "term"), 6)).where(F.col("ratio") > least)
+    best = rated.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("m"), "term_id", "term")).alias("b"))
+    return best.select("name", "b.term_id", "b.term", (-F.col("b.m")).alias("ratio"))
+
+
+def standard_names(names: DataFrame, terms: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(name, standard): names without modifiers, as their own term, their synonym's, the closest one, or as they are.
+
+    terms: (term_id, term); synonyms: (alias, term), the smaller term on ties.
+    """
+    bare = reduce(lambda c, p: F.trim(F.regexp_replace(c, p, "")), t.MODIFIERS, F.trim("name"))
+    clean = names.select("name").where("name is not null").distinct().withColumn("_c", bare)
+    exact = terms.select(F.col("term").alias("_c"), F.col("term").alias("_own")).where("_c is not null").distinct()
+    known = synonyms.where("alias is not null").groupBy(F.col("alias").alias("_c")).agg(F.min("term").alias("_said"))
+    found = clean.join(broadcast_if_small(exact), "_c", "left").join(broadcast_if_small(known), "_c", "left")
+    best = closest_terms(found.where("_own is null and _said is null").select(F.col("_c").alias("name")), terms).select(F.col("name").alias("_c"), F.col("term").alias("_near"))
+    return found.join(best, "_c", "left").select("name", F.coalesce("_own", "_said", "_near", "_c").alias("standard"))
+
+
+def standard_triplets(triplets: DataFrame, terms: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """Triplets with standard heads and tails, and ``original_head`` and ``original_tail`` where they were others.
+
+    Those without three parts, of one name with itself, or with an end that
+    can't be an entity's name are left out.
+    """
+    names = standard_names(triplets.select(F.explode(F.array("head", "tail")).alias("name")), terms, synonyms)
+    out = triplets
+    for end in ("head", "tail"):
+        own = names.select(F.col("name").alias(end), F.col("standard").alias(f"_{end}"))
+        out = out.join(own, end).withColumn(f"original_{end}", F.when(F.col(f"_{end}") != F.col(end), F.col(end))).withColumn(end, F.col(f"_{end}")).drop(f"_{end}")
+    whole = (F.trim("head") != "") & (F.trim("relation") != "") & (F.trim("tail") != "") & (F.col("head") != F.col("tail"))
+    return out.where(whole & t.is_valid_entity(F.col("head")) & t.is_valid_entity(F.col("tail"))).select(*triplets.columns, "original_head", "original_tail")
+
+
 def _hits(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
 

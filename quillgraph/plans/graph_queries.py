@@ -65,6 +65,10 @@ def meta_path_hops(spark, d):
     return g.shortest_paths(_edges(spark, d), _pairs(spark, d), 3, relations=CAUSES).select("source", "target", "hops")
 
 
+def meta_path_or_shortest(spark, d):
+    return g.meta_paths(_edges(spark, d), _pairs(spark, d), CAUSES).select("source", "target", "hops", "is_meta_path")
+
+
 def shortest_path_text(spark, d):
     return g.shortest_paths(_edges(spark, d), _pairs(spark, d), 3).select("source", "target", g.path_text(F.col("nodes"), F.col("rels")).alias("path"))
 
@@ -119,6 +123,10 @@ def community_density(spark, d):
     return g.community(_edges(spark, d), _busiest(spark, d, 40), 2)
 
 
+def community_paths(spark, d):
+    return g.community_paths(_edges(spark, d), _busiest(spark, d, 40)).select("source", "target", g.path_text(F.col("nodes"), F.col("rels")).alias("path"), "place")
+
+
 def isolated_nodes(spark, d):
     ends = _edges(spark, d).select(F.explode(F.array("src", "dst")).alias("name")).distinct()
     named = table(spark, d, "entity_node").where("name is not null").select("name").distinct()
@@ -206,9 +214,9 @@ q AS (SELECT DISTINCT a, b FROM p WHERE a < b)"""
 
 
 def queries() -> dict:
-    names = """one_hop_neighbors neighbors_by_relation two_hop_limit variable_length_paths path_strings shortest_path_hops meta_path_hops shortest_path_text degree_having
+    names = """one_hop_neighbors neighbors_by_relation two_hop_limit variable_length_paths path_strings shortest_path_hops meta_path_hops meta_path_or_shortest shortest_path_text degree_having
     density_profile dominant_relation graph_counts type_distribution relation_distribution schema_catalogue typed_edges merge_stats pairs_within_two_hops
-    community_density isolated_nodes node_projection edge_scan export_graph table_graph_expand event_transitions cooccurrence""".split()
+    community_density community_paths isolated_nodes node_projection edge_scan export_graph table_graph_expand event_transitions cooccurrence""".split()
     return {n: globals()[n] for n in names}
 
 

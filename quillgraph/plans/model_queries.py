@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import jsonfix
-from ..operators import models, retrieval, vectors
+from ..operators import graph, maintenance, models, retrieval, vectors
 from .tables import table
 
 
@@ -39,8 +39,20 @@ def linked_pipeline(spark, d):
     return put.join(linked, "id", "left").join(known, "name", "left").select("id", "intent", "query", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
+def model_intents(spark, d):
+    docs = table(spark, d, "documents").where("text is not null")
+    return models.classify(docs, "doc_id", "text", models.NameClassifier()).select("doc_id", "intent", "confidence", "by_model")
+
+
+def low_relevance_nodes(spark, d):
+    """Names that the rules of cleaning keep and the reranker finds irrelevant."""
+    triplets = table(spark, d, "triplet")
+    kept = maintenance.clean_nodes(graph.node_types(triplets), graph.edges_of(triplets))[0]
+    return models.low_relevance(kept, models.OverlapReranker())
+
+
 def queries() -> dict:
-    return {n: globals()[n] for n in ("embedded_names", "reranked_terms", "extracted_triplets", "linked_pipeline")}
+    return {n: globals()[n] for n in ("embedded_names", "reranked_terms", "extracted_triplets", "linked_pipeline", "model_intents", "low_relevance_nodes")}
 
 
 def oracle_sql() -> dict[str, str]:

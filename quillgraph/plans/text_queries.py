@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonfix as j
 from ..functions import similarity as s
 from ..functions import text as t
+from ..operators import retrieval
 from .tables import spaces_only, table
 
 
@@ -215,6 +216,12 @@ def fuzzy_standard_terms(spark, d):
     return close.withColumn("r", F.row_number().over(W.partitionBy("name").orderBy(F.desc("ratio"), "term_id"))).where("r = 1").select("name", "term_id", "ratio")
 
 
+def standard_triplets(spark, d):
+    """Triplets with standard ends; the aliases of the reference list are the synonyms."""
+    terms = table(spark, d, "standard_entity")
+    return retrieval.standard_triplets(table(spark, d, "triplet").select("triplet_id", "head", "relation", "tail"), terms, terms.select(F.explode("aliases").alias("alias"), "term"))
+
+
 def _lit(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -306,7 +313,8 @@ SELECT item_id, count(*) AS n, count(DISTINCT h) AS n_heads, count(DISTINCT k) A
 def queries() -> dict:
     names = """clean_text escape_text sanitize_names sanitize_relations default_types punctuation_names stop_names valid_entities complete_triplets remove_modifiers normalize_names
     strip_fences noise_chunks injection_suspects file_kinds url_stems object_keys file_hashes duplicate_texts changed_files embedding_texts clean_scans scan_statistics rate_spacing
-    formatted_times props_parsed json_repaired json_extracted json_validated triplet_rows model_entities path_json rows_to_csv csv_to_rows label_distribution fuzzy_standard_terms""".split()
+    formatted_times props_parsed json_repaired json_extracted json_validated triplet_rows model_entities path_json rows_to_csv csv_to_rows label_distribution fuzzy_standard_terms
+    standard_triplets""".split()
     return {n: globals()[n] for n in names}
 
 

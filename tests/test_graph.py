@@ -101,3 +101,20 @@ def test_upsert(spark):
     old = spark.createDataFrame([(1, "a", 10), (2, "b", 10)], "id int, name string, created_at int")
     new = spark.createDataFrame([(2, None, 20), (3, "c", 20)], "id int, name string, created_at int")
     assert sorted(tuple(r) for r in m.upsert(old, new, "id").collect()) == [(1, "a", 10), (2, "b", 10), (3, "c", 20)]
+
+
+def test_meta_paths_fall_back(spark):
+    e = edges(spark, [("a", "r", "b"), ("b", "s", "c"), ("c", "r", "d")])
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "z")], "source string, target string")
+    got = {(r["source"], r["target"], r["hops"], r["is_meta_path"]) for r in g.meta_paths(e, pairs, ["r"]).collect()}
+    assert got == {("a", "b", 1, True), ("a", "c", 2, False)}
+    assert [r["target"] for r in g.meta_paths(e, pairs, ["r"], fallback=False).collect()] == ["b"]
+
+
+def test_community_paths(spark):
+    e = edges(spark, [(a, "r", b) for a, b in ("ab", "bc", "cd", "ad", "xy")])
+    members = spark.createDataFrame([(x,) for x in "abcd"], "name string")
+    got = [(r["source"], r["target"], r["place"]) for r in g.community_paths(e, members, 1).orderBy("place").collect()]
+    assert got == [("a", "b", 1), ("a", "d", 2), ("b", "c", 3), ("c", "d", 4)]
+    assert g.community_paths(e, members, 1, most=3).count() == 3
+    assert g.community_paths(e, spark.createDataFrame([("a",), ("c",), ("x",)], "name string"), 1).isEmpty()

@@ -79,3 +79,35 @@ def test_streams(spark, tmp_path):
     shown = progress.drained(progress.monotone_stream(stream, "client", "at", "v", "n"), "append")
     assert {r["seq"]: r["shown"] for r in shown.collect()} == {1: 5.0, 2: 5.0, 3: 1.0}
     assert [r["client"] for r in progress.alive(df, "client", "at").collect()] == ["c2"]
+
+
+def moody():
+    class Moody:
+        def classify(self, text):
+            if "x" in text:
+                raise ValueError("no")
+            return {"a": '```json\n{"intent": "发病机制", "confidence": 0.7}\n```', "b": "{broken", "c": '{"intent": "?"}'}.get(text, "")
+
+        def score(self, query, texts):
+            if "x" in texts:
+                raise ValueError("no")
+            return [0.15 if t == "a" else 0.1 for t in texts]
+
+    return Moody()
+
+
+def test_classified_intents(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "x治疗"), (5, None), (6, "治疗方案")], "id int, s string")
+    got = {r["id"]: (r["intent"], r["confidence"], r["by_model"], r["error"] is None) for r in models.classify(df, "id", "s", moody(), tries=1).collect()}
+    assert got == {
+        1: ("MECHANISM", 0.7, True, True), 2: ("GENERAL", 0.3, False, True), 3: ("GENERAL", 0.5, True, True),
+        4: ("TREATMENT", 0.45, False, False), 5: (None, None, False, True), 6: ("TREATMENT", 0.6, False, True),
+    }
+    assert {r["intent"] for r in models.classify(df, "id", "s", None).where("id in (1, 6)").collect()} == {"GENERAL", "TREATMENT"}
+
+
+def test_low_relevance_is_reported(spark):
+    names = spark.createDataFrame([("a",), ("b",), (None,), ("",)], "name string").coalesce(1)
+    assert [tuple(r) for r in models.low_relevance(names, moody()).collect()] == [("b", 0.1, "Low Semantic Score (0.1000)", None)]
+    failed = models.low_relevance(spark.createDataFrame([("x",)], "name string"), moody()).first()
+    assert failed["score"] is None and "no" in failed["error"]

@@ -106,3 +106,15 @@ def test_file_names(spark):
     assert one(spark, "a_pdf", t.file_kind) == "pdf"
     assert one(spark, "a.jpeg", t.file_kind) == "other"
     assert one(spark, "https://x/y/%E8%BF%91.pdf?s=1", t.url_stem) == "近"
+
+
+def test_standard_triplets(spark):
+    from quillgraph.operators import retrieval
+
+    terms = spark.createDataFrame([(1, "视网膜脱离"), (2, "青光眼")], "term_id int, term string")
+    synonyms = spark.createDataFrame([("网脱", "视网膜脱离")], "alias string, term string")
+    rows = [(1, "网脱", "r", "青光眼"), (2, "视网膜脱落离", "r", "角膜移植"), (3, "网脱", "r", "视网膜脱离"), (4, None, "r", "青光眼"), (5, "青光眼", " ", "网脱")]
+    got = {tuple(r) for r in retrieval.standard_triplets(spark.createDataFrame(rows, "id int, head string, relation string, tail string"), terms, synonyms).collect()}
+    assert got == {(1, "视网膜脱离", "r", "青光眼", "网脱", None), (2, "视网膜脱离", "r", "角膜移植", "视网膜脱落离", None)}
+    same = spark.createDataFrame([("啊啊啊啊啊啊啊啊",)], "name string")
+    assert retrieval.closest_terms(same, spark.createDataFrame([(3, "啊啊啊啊啊啊啊")], "term_id int, term string")).first()["term_id"] == 3
