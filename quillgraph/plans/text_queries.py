@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsonfix as j
-from ..functions import similarity as s
 from ..functions import text as t
 from ..operators import retrieval
 from .tables import spaces_only, table
@@ -204,16 +203,9 @@ def label_distribution(spark, d):
 
 
 def fuzzy_standard_terms(spark, d):
-    """Best entry of the reference list by block ratio for each label's names of nearly its length, over 0.80."""
-    from pyspark.sql import Window as W
-
-    terms = F.broadcast(table(spark, d, "standard_entity").select("term_id", "term"))  # a fixed list
-    names = table(spark, d, "entity_node").where("source = 'manual' and name is not null").select(F.trim("name").alias("name")).distinct()
-    close = names.join(terms, F.abs(F.char_length("name") - F.char_length("term")) <= 4)
-    # Cheap bound first: characters in common can't be fewer than the ratio asks for.
-    shared = F.size(F.array_intersect(F.split("name", ""), F.split("term", "")))
-    close = close.where(shared >= 0.3 * F.char_length("term")).withColumn("ratio", F.round(s.sequence_ratio("name", "term"), 6)).where("ratio > 0.8")
-    return close.withColumn("r", F.row_number().over(W.partitionBy("name").orderBy(F.desc("ratio"), "term_id"))).where("r = 1").select("name", "term_id", "ratio")
+    """Best entry of the reference list by block ratio, over 0.80, for each name of nearly its length, of whatever source."""
+    names = table(spark, d, "entity_node").select(F.trim("name").alias("name"))
+    return retrieval.closest_terms(names, table(spark, d, "standard_entity")).select("name", "term_id", "ratio")
 
 
 def standard_triplets(spark, d):

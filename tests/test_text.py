@@ -118,3 +118,12 @@ def test_standard_triplets(spark):
     assert got == {(1, "视网膜脱离", "r", "青光眼", "网脱", None), (2, "视网膜脱离", "r", "角膜移植", "视网膜脱落离", None)}
     same = spark.createDataFrame([("啊啊啊啊啊啊啊啊",)], "name string")
     assert retrieval.closest_terms(same, spark.createDataFrame([(3, "啊啊啊啊啊啊啊")], "term_id int, term string")).first()["term_id"] == 3
+
+
+def test_fuzzy_terms_of_all_sources(spark, tmp_path):
+    import __spark_entry__
+
+    spark.createDataFrame([("视网膜脱落离", "extract"), ("青光眼病", None), ("角膜", "manual")], "name string, source string").write.parquet(f"{tmp_path}/entity_node.parquet")
+    spark.createDataFrame([(1, "视网膜脱离"), (2, "青光眼")], "term_id int, term string").write.parquet(f"{tmp_path}/standard_entity.parquet")
+    got = {(r["name"], r["term_id"]) for r in __spark_entry__.queries()["fuzzy_standard_terms"](spark, str(tmp_path)).collect()}
+    assert got == {("视网膜脱落离", 1), ("青光眼病", 2)}
