@@ -373,7 +373,7 @@ def read_page(text: str, kinds: list[str], following: str | None, counts: Counts
         after = lines[body[at + 1]] if at + 1 < len(body) else following
         broken = _BROKEN.search(line)
         on = _GOES_ON.match(after) if after is not None else None
-        if broken and broken.start(1) >= begin and (on or after is None and i < len(lines) - 1):
+        if broken and broken.start(1) >= begin and (on or after is None):
             last, first = broken.group(1), on.group(1) if on else ""
             if not on or broken.group(2) == "­" or _joins(last.lower(), first.lower(), counts, channel):
                 marks.add((i + 1, "hyphen"))

@@ -315,6 +315,11 @@ def test_running_lines_of_a_long_file(spark):
     assert got == {(n, *line) for n in range(1, 601) for line in ((1, "header"), (5, "page_no"))}
 
 
+def test_word_broken_at_the_end_of_the_last_page(spark):
+    pages = spark.createDataFrame([(1, "f", 1, "The sample and the out-"), (2, "f", 3, "The sample.")], "page_id long, file_hash string, page_number int, text string")
+    assert {(r["page_id"], r["line_no"], r["kind"]) for r in scans.noise_of_lines(pages).collect()} == {(1, 1, "hyphen")}
+
+
 @pytest.mark.parametrize(("line", "wanted"), [("- l2 -", ("-#-", 12)), ("xiv", ("roman", 14)), ("Page 7", ("p#", 7)), ("3 / 25", ("#/", 3)), ("第 4O 页", ("第#页", 40)), ("| a | 3 |", None), ("第3章", None), ("", None)])
 def test_page_numbers(line, wanted):
     assert scans.page_number(line) == wanted
