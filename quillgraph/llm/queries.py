@@ -10,15 +10,15 @@ from . import canonical, components, dedup, mixing, neighbours, scans, splitting
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "document_index").select("item_id", "text")
-    chunks = splitting.split_oversized(items, with_text=False).where("chunk_index = 0")
-    kinds = F.when(F.col("longest_stretch") > splitting.LIMIT, F.array(F.lit("oversized"), F.lit("no_boundary"))).otherwise(F.array(F.lit("oversized")))
+    """Items with chunks, and those with a chunk that was cut in a stretch over the limit."""
+    chunks = splitting.split_oversized(table(spark, folder, "document_index").select("item_id", "text"), with_text=False)
+    kinds = F.array_compact(F.array(F.when(F.col("chunk_index") == 0, "oversized"), F.when(F.col("stretch") > splitting.LIMIT, "no_boundary")))
     return chunks.select("item_id", F.explode(kinds).alias("kind")).distinct()
 
 
 def p1_chunks(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "document_index").select("item_id", "text").dropDuplicates(["item_id"])
-    return splitting.split_oversized(items).drop("longest_stretch")
+    return splitting.split_oversized(items)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,10 +3,12 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
-from quillgraph.llm import canonical, components, dedup, mixing, neighbours, scans, splitting, tokens, topics
+from quillgraph.llm import canonical, components, dedup, mixing, neighbours, queries, scans, splitting, tokens, topics
+
+QUERIES = queries.queries()
 
 # ---- splitting
 
@@ -33,27 +35,68 @@ def test_boundaries(text):
     assert set(splitting.boundaries(text)) == brute_boundaries(text)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab。.！\n ”)，", max_size=400), st.integers(12, 40))
-def test_chunks_hold_the_rules(text, limit):
-    overlap = limit // 4
-    chunks = splitting.split_text(text, limit, overlap)
-    marks = brute_boundaries(text)
-    end = 0
-    for k, (s, e, at) in enumerate(chunks):
+def check_chunks(text, limit, overlap):
+    """The rules of a text's chunks, by a plain scan for boundaries."""
+    chunks, marks, end = splitting.split_text(text, limit, overlap), brute_boundaries(text), 0
+    for k, (s, e, stretch) in enumerate(chunks):
         assert e - s <= limit and s == (max(0, end - overlap) if k else 0) and (e > end or not text)
-        assert at == (e in marks) or not at
-        if e not in marks:  # then none was in reach
-            assert not any(end < m <= s + limit for m in marks) or e == len(text)
+        assert (stretch == 0) == (e in marks)
+        if stretch:  # then none was in reach
+            assert not any(end < m <= s + limit for m in marks)
+            assert stretch == min(m for m in marks if m > e) - max(m for m in marks if m < e)
         end = e
     assert end == len(text)
+    return chunks
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.text(alphabet="ab。.！\n ”)，#-|`1", max_size=400), st.integers(12, 40))
+@example("aa\n\n aaaaaaaa", 12)
+@example("aa\naaaaaaaaaa", 12)
+def test_chunks_hold_the_rules(text, limit):
+    check_chunks(text, limit, limit // 4)
+
+
+BOOK = "# 一\n引言。\n## 二\n" + "甲。" * 30 + "\n### 三\n" + "乙。" * 30 + "\n## 四\n丙。\n\n- a\n  - b\n  - c\n- d\n\n| x |\n|---|\n\n```\n# no\n```\n# 五\n丁。"
+
+
+def outline(node):
+    return (node.kind, [outline(x) for x in node.children]) if node.children and node.kind != "paragraph" else node.kind
+
+
+def test_structure_nests():
+    line = "line"
+    items = ("list", [("item", [line, ("item", [line]), ("item", [line])]), ("item", [line]), line])
+    four = ("section", ["heading", "paragraph", items, ("table", [line, line, line]), ("fence", [line, line, line])])
+    two = ("section", ["heading", "paragraph", ("section", ["heading", "paragraph"])])
+    assert outline(splitting.structure(BOOK)) == ("section", [("section", ["heading", "paragraph", two, four]), ("section", ["heading", "paragraph"])])
+
+
+def test_siblings_are_merged_whole():
+    texts = [BOOK[s:e] for s, e, _ in splitting.split_text(BOOK, 80, 0)]
+    # The first section is over the limit and opened, so is the second level; whole sections are left together.
+    assert [x.split("\n")[0] for x in texts] == ["# 一", "## 二", "### 三", "## 四", "# 五"]
+
+
+def test_chunks_of_the_tables(spark, sf):
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/document_index.parquet").collect() if r["text"] and len(r["text"]) > 1400}
+    got, kinds = {}, set()
+    for r in QUERIES["p1_chunks"](spark, sf).collect():
+        got.setdefault(r["item_id"], []).append((r["chunk_index"], r["start"], r["end"], r["stretch"], r["chunk"]))
+    assert set(got) == set(items)
+    for item, chunks in got.items():
+        text, marks = items[item], sorted(brute_boundaries(items[item]))
+        wanted = [(i, *c, text[c[0] : c[1]]) for i, c in enumerate(check_chunks(text, 1400, 200))]
+        assert sorted(chunks) == wanted
+        kinds |= {(item, "oversized")} | ({(item, "no_boundary")} if max(b - a for a, b in zip(marks, marks[1:])) > 1400 else set())
+    assert {tuple(r) for r in QUERIES["p1_found"](spark, sf).collect()} == kinds
 
 
 def test_split_oversized_cases(spark):
-    rows = [(1, "句。" * 1000, 0), (2, None, 0), (3, "", 1), (4, "短。", 1), (5, "a" * 2000, 1), (1, "句。" * 1000, 0)]
+    rows = [(1, "句。" * 1000, 0), (2, None, 0), (3, "", 1), (4, "短。", 1), (5, "a" * 2000, 1), (1, "句。" * 1000, 0), (6, " " * 2000, 2)]
     df = spark.createDataFrame(rows, "item_id long, text string, chunk_index int")
     got = splitting.split_oversized(df).collect()
-    assert {r["item_id"] for r in got} == {1, 5}
+    assert {r["item_id"] for r in got} == {1, 5, 6}
     assert all(len(r["chunk"]) <= 1400 for r in got)
     assert splitting.split_oversized(df.limit(0)).isEmpty()
 
