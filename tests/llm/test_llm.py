@@ -192,6 +192,33 @@ def test_recall_against_brute_force(spark):
     assert hits / 30_000 >= 0.9
 
 
+def test_recall_on_the_tables(spark, sf):
+    rows = {r["id"]: r["embedding"] for r in spark.read.parquet(f"{sf}/entity_vector.parquet").collect()}
+    good = {i: np.array(v) for i, v in rows.items() if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    ids = sorted(good)
+    u = np.stack([good[i] / np.linalg.norm(good[i]) for i in ids])
+    close = u @ u.T
+    np.fill_diagonal(close, -2)
+    wanted = {(ids[i], ids[j]) for i, row in enumerate(np.argsort(-close, axis=1, kind="stable")[:, :10]) for j in row}
+    got = [tuple(r) for r in QUERIES["p4_neighbours"](spark, sf).collect()]
+    assert len({(a, b) for a, b, _, _ in got} & wanted) >= 0.9 * len(wanted) and len(got) == len(wanted)
+    at = {x: i for i, x in enumerate(ids)}
+    assert all(abs(close[at[a], at[b]] - c) < 1e-6 for a, b, c, _ in got)
+
+
+def test_lists_of_copies_and_of_few():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.tile(rng.normal(size=64), (500, 1)), rng.normal(size=(900, 64))]).astype(np.float32)
+    own = neighbours.fit_lists(x, 40, len(x), 10)
+    at, far = own.search(neighbours._unit(x))
+    assert own.members(at, far).any(1).all() and own.queries(at, far).any(1).all()
+    exact = np.argsort(-(neighbours._unit(x) @ own.c.T), axis=1)[:, :3]
+    assert np.mean([set(a) <= set(b) for a, b in zip(exact.tolist(), at.tolist())]) > 0.99
+    for few in (x[:1], x[:7], x[500:503]):
+        lists = neighbours.fit_lists(few, 1, len(few), 10)
+        assert lists.queries(*lists.search(neighbours._unit(few))).all()
+
+
 def test_unusable_vectors_and_copies(spark, monkeypatch):
     v = [1.0] + [0.0] * 63
     w = [0.9, 0.1] + [0.0] * 62
