@@ -5,16 +5,19 @@ of a file's pages. Broken words are joined where the corpus knows the joined
 word better than the one with its mark. Misrecognised characters are found by
 noisy-channel decoding: the words of a page and their likely originals form a
 lattice, weighed by confusion probabilities and corpus n-gram counts, and the
-best path is found by Viterbi. The counts are held in a table of fixed size, so
-what is broadcast doesn't grow with the corpus.
+best path is found by Viterbi over the words of a page, across its lines. The
+probability of each confusion is estimated from the corpus, with a common prior.
+Counts are exact; what is broadcast is bounded by leaving out n-grams that make
+up less than a fixed share of all, at every size of the corpus.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from math import log
 
 import numpy as np
@@ -28,24 +31,33 @@ from .canonical import edits
 #: Pages of a stretch; what runs near a page is looked for in its stretch and the two beside it.
 NEAR = 50
 
-#: Cells of each of the two rows of the count table, as a power of two.
-BITS = 21
+#: Least share of all n-grams of the corpus that a counted one makes up; so at most 1 / RAREST are broadcast (4 M, 12 bytes each).
+RAREST = 2.0**-22
 
 #: Characters and what a recogniser takes them for.
 LATIN = (("e", "c"), ("i", "!"), ("o", "0"), ("s", "5"), ("l", "1"), ("h", "li"), ("m", "rn"), ("d", "cl"), ("w", "vv"), ("g", "9"), ("b", "6"), ("z", "2"))
 DIGITS = (("1", "l"), ("0", "O"), ("5", "S"), ("1", "I"), ("1", "|"), ("0", "o"), ("8", "B"), ("2", "Z"))
 CJK = (
-    "项顶 记汜 登凳 视祝 料科 离禽 部郜 关夫 明朋 访仿 膜腊 诊疹 照煦 据锯 果杲 眼跟 标杆 童章 网岡 录泉 数敉 样祥 镜锐 学字 近迈 轴铀 变奕 补朴 晶品 增憎 光先 角甬 "
-    "未末 己已 日曰 土士 大太 人入 干千 天夭 治冶 体休 析折 晴睛 侯候 拔拨 折拆 处外 间问 门们 病丙 广厂 验险 疗疔 术木 球求 症证 清请 没设 提是 第弟 他她 白自"
-).split()
-
-#: Probability that a character with a confusion is misread, and that a count is noise of a likelier neighbour.
-CONFUSED, NOISE = 0.03, 0.08
+    ("项", "顶"), ("记", "汜"), ("登", "凳"), ("视", "祝"), ("料", "科"), ("离", "禽"), ("部", "郜"), ("关", "夫"), ("明", "朋"), ("访", "仿"),
+    ("膜", "腊"), ("诊", "疹"), ("照", "煦"), ("据", "锯"), ("果", "杲"), ("眼", "跟"), ("标", "杆"), ("童", "章"), ("网", "岡"), ("录", "泉"),
+    ("数", "敉"), ("样", "祥"), ("镜", "锐"), ("学", "字"), ("近", "迈"), ("轴", "铀"), ("变", "奕"), ("补", "朴"), ("晶", "品"), ("增", "憎"),
+    ("光", "先"), ("角", "甬"), ("未", "末"), ("己", "已"), ("日", "曰"), ("土", "士"), ("大", "太"), ("人", "入"), ("干", "千"), ("天", "夭"),
+    ("治", "冶"), ("体", "休"), ("析", "折"), ("晴", "睛"), ("侯", "候"), ("拔", "拨"), ("折", "拆"), ("处", "外"), ("间", "问"), ("门", "们"),
+    ("病", "丙"), ("广", "厂"), ("验", "险"), ("疗", "疔"), ("术", "木"), ("球", "求"), ("症", "证"), ("清", "请"), ("没", "设"), ("提", "是"),
+    ("第", "弟"), ("他", "她"), ("白", "自"), ("察", "寨"), ("综", "棕"), ("材", "村"), ("光", "尤"),
+)
+
+#: Prior probability of a confusion and its weight in occurrences, the share of a count that may be noise of a likelier
+#: neighbour, and how many times as frequent an original must be.
+CONFUSED, PRIOR, NOISE, LIKELIER = 0.03, 200.0, 0.08, 5.0
 #: Weight of single words against pairs of words.
 BACKOFF = 2.0
+#: Log weight of a word with a digit or mark among its letters against any other.
+MIXED = log(0.02)
 
 _HYPHENS = "-‐‑­"
 _TOKEN = re.compile(rf"[0-9]+(?:[.,][0-9]+)*|[A-Za-z0-9!|À-ɏ]+(?:[-‐‑­][A-Za-z0-9!|À-ɏ]+)*|[⺀-鿿豈-﫿]|[^\s]")
+_MIXED = re.compile(r"[a-z][0-9!|]+[a-z]")
 _NUMBER = re.compile(r"[0-9]+(?:[.,][0-9]+)*\Z")
 _ROMAN = re.compile(r"(?=[ivxlc]+\Z)c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})\Z")
 _PAGE_NUMBER = re.compile(r"^\s*(?P<pre>page|p\.|第|[-–—−·•\[(（【]*)\s*(?P<n>[0-9lIOoSBZ|]{1,6}|[ivxlcIVXLC]{1,9})\s*(?:/\s*(?P<of>[0-9lIOoSBZ|]{1,6})|(?P<post>页|[-–—−·•\])）】]*))?\s*$", re.I)
@@ -83,9 +95,19 @@ def line_key(line: str) -> str:
 
 
 def _edges(lines: list[str]) -> list[int]:
-    """Places of the lines at the head and foot of a page: two each, fences and blank lines aside."""
+    """Places of the lines at the head and foot of a page, fences and blank lines aside.
+
+    Two each, and further ones for as long as they and the line outside of them are short for the page.
+    """
     full = [i for i, x in enumerate(lines) if x.strip() and not _FENCE.match(x)]
-    return sorted({*full[:2], *full[-2:]})
+    short = 0.6 * max((len(lines[i]) for i in full), default=0)
+    out = {*full[:2], *full[-2:]}
+    for side in (full, full[::-1]):
+        for before, i in zip(side[1:], side[2:]):
+            if len(lines[before]) >= short or len(lines[i]) >= short:
+                break
+            out.add(i)
+    return sorted(out)
 
 
 def _stretch() -> Column:
@@ -178,116 +200,173 @@ def _alike(a: str, b: str) -> bool:
     return known
 
 
-def words_of(text: str) -> list[tuple[str, int, int]]:
-    """(token in lower case, start, end): words with their inner marks, numbers, CJK characters, other marks."""
-    return [(m.group().lower(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
-
-
 def _class(token: str) -> str:
     return "#" if _NUMBER.match(token) else token
 
 
-def _hash(text: str) -> tuple[int, int]:
-    data = text.encode("utf-8", "replace")
-    return zlib.crc32(data) & ((1 << BITS) - 1), (zlib.adler32(data) * 2654435761 ^ zlib.crc32(data, 77)) >> 3 & ((1 << BITS) - 1)
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 class Counts:
-    """Counts of tokens and pairs, at most a little too high (the least of two cells)."""
+    """Exact counts of the n-grams that aren't too rare; 0 for the others."""
 
-    def __init__(self, table: np.ndarray):
-        self.table = table.reshape(2, -1)
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys, self.n = keys, n
         self.known: dict[str, int] = {}
 
     def __call__(self, gram: str) -> int:
         if (n := self.known.get(gram)) is None:
             if len(self.known) > 300_000:
                 self.known.clear()
-            a, b = _hash(gram)
-            n = self.known[gram] = int(min(self.table[0, a], self.table[1, b]))
+            key = _hash(gram)
+            at = int(self.keys.searchsorted(key))
+            n = self.known[gram] = int(self.n[at]) if at < len(self.keys) and self.keys[at] == key else 0
         return n
 
 
+class _Cached(dict):
+    """Values of a function, forgotten when there are many."""
+
+    def __init__(self, make, most: int = 300_000):
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
+def _plain(raw: str) -> str:
+    """The form of a token that is counted."""
+    return _class(raw.lower())
+
+
 def _counted(tokens: list[str]) -> list[str]:
     """Grams that are counted: words, and pairs of neighbours with a letter or a confusable character."""
     out = [t for t in tokens if len(t) > 1 or t.isalpha() or t == "#"]
-    for a, b in zip(tokens, tokens[1:]):
-        if len(a) > 1 or a in _CJK_ALL or a == "#" or len(b) > 1 or b in _CJK_ALL or b == "#":
-            out.append(f"{a}\x01{b}")
-    return out
+    rich = [len(t) > 1 or t in _CJK_ALL or t == "#" for t in tokens]
+    return out + [f"{a}\x01{b}" for a, b, x, y in zip(tokens, tokens[1:], rich, rich[1:]) if x or y]
 
 
-def body_text(lines: list[str]) -> str:
+def body_text(lines: list[str]) -> list[str]:
     """The lines that may be counted as text, words broken at line ends left apart."""
-    return "\n".join("" if _FENCE.match(x) or _TABLE.match(x) else x for x in lines)
+    return [x for x in lines if not (_FENCE.match(x) or _TABLE.match(x))]
 
 
-def corpus_counts(pages: DataFrame) -> np.ndarray:
-    """The count table over all pages, of fixed size (two rows of 2**BITS cells)."""
+def corpus_grams(pages: DataFrame) -> DataFrame:
+    """(gram, n): how often each word and each pair of words stands in the pages, if it makes up RAREST of all."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(2 << BITS, np.int64)
-        spot: dict[str, tuple[int, int]] = {}
+        plain = _Cached(_plain)
+        grams: Counter[str] = Counter()
         for b in batches:
-            grams: Counter[str] = Counter()
             for text in b["text"]:
-                for line in body_text(text.split("\n")).split("\n"):
-                    grams.update(_counted([_class(t) for t, _, _ in words_of(line)]))
-            for gram, n in grams.items():
-                if (at := spot.get(gram)) is None:
-                    if len(spot) > 300_000:
-                        spot.clear()
-                    at = spot[gram] = _hash(gram)
-                table[at[0]] += n
-                table[(1 << BITS) + at[1]] += n
-        full = np.flatnonzero(table)
-        for s in range(0, len(full), 50_000):
-            cells = full[s : s + 50_000]
-            yield pd.DataFrame({"cell": cells.astype(np.int32), "n": table[cells]})
-
-    cells = pages.select("text").mapInPandas(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    table = np.zeros(2 << BITS, np.int64)
-    found = cells.toArrow()  # 2 * 2**BITS rows at most
-    table[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return np.minimum(table, 2**31 - 1).astype(np.int32)
+                for line in body_text(text.split("\n")):
+                    grams.update(_counted([plain[t] for t in _TOKEN.findall(line)]))
+            if len(grams) > 200_000:
+                yield pd.DataFrame(grams.items(), columns=["gram", "n"])
+                grams.clear()
+        yield pd.DataFrame(grams.items(), columns=["gram", "n"])
+
+    grams = written(pages.select("text").mapInPandas(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    total = grams.agg(F.sum("n")).first()[0] or 0
+    return grams.where(F.col("n") >= RAREST * total)
+
+
+def corpus_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams in order, and their counts; 1 / RAREST at most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"h": [_hash(x) for x in b["gram"]], "n": b["n"]})
+
+    found = grams.mapInPandas(run, "h long, n long").toArrow()
+    keys, n = found["h"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], np.minimum(n[order], 2**31 - 1).astype(np.int32)
+
+
+def _evidence(gram: str, n: int, counts: Counts) -> Iterator[tuple[str, str, int, int]]:
+    """(true, seen, misread, read): how often a frequent gram stands as it is, and with one character confused."""
+    a, _, b = gram.rpartition("\x01")
+    if a and b in _CJK_ALL:
+        for true, seen in CJK:
+            if true == b and (m := counts(f"{a}\x01{seen}")) <= NOISE * n:
+                yield true, seen, m, n
+    elif not a and len(b) > 2 and b.isalpha():
+        for true, seen in LATIN:
+            at = b.find(true)
+            while at >= 0:
+                if (m := counts(b[:at] + seen + b[at + len(true) :])) <= NOISE * n:
+                    yield true, seen, m, n
+                at = b.find(true, at + 1)
+
+
+def confusions(grams: DataFrame, table: tuple[np.ndarray, np.ndarray], least: int = 20) -> dict[tuple[str, str], float]:
+    """The probability of each listed confusion, by the frequent grams and what they look like when misread."""
+    shared = grams.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = Counts(*shared.value)
+        sums: dict[tuple[str, str], list[int]] = {}
+        for b in batches:
+            for gram, n in zip(b["gram"], b["n"]):
+                for true, seen, misread, read in _evidence(gram, n, counts):
+                    own = sums.setdefault((true, seen), [0, 0])
+                    own[0] += misread
+                    own[1] += read
+        yield pd.DataFrame([(*pair, *own) for pair, own in sums.items()], columns=["true", "seen", "misread", "read"])
+
+    found = grams.where(F.col("n") >= least).mapInPandas(run, "true string, seen string, misread long, read long").groupBy("true", "seen").agg(F.sum("misread").alias("m"), F.sum("read").alias("r"))
+    seen = {(r["true"], r["seen"]): (r["m"], r["r"]) for r in found.collect()}  # a row for each listed confusion
+    out = {}
+    for pair in (*LATIN, *DIGITS, *CJK):
+        m, r = seen.get(pair, (0, 0))
+        out[pair] = (m + PRIOR * CONFUSED) / (m + r + PRIOR)
+    return out
 
 
 class Channel:
     """Likely originals of tokens, and decoding of token sequences."""
 
-    def __init__(self, counts: Counts):
+    def __init__(self, counts: Counts, chances: dict[tuple[str, str], float] | None = None):
         self.n = counts
-        self.options: dict[str, list[str]] = {}
-
-    def candidates(self, token: str, raw: str) -> list[str]:
-        """Originals that the corpus knows far better than the token, which may be misread once or twice."""
-        if (known := self.options.get(raw)) is not None:
-            return known
-        if len(self.options) > 300_000:
-            self.options.clear()
-        out: list[str] = []
+        chances = chances or {}
+        self.cost = {pair: log(chances.get(pair, CONFUSED)) for pair in (*LATIN, *DIGITS, *CJK)}
+        self.of_digit = min(self.cost[pair] for pair in DIGITS)
+        self.options = _Cached(self._originals)
+        self.plain = _Cached(_plain)
+
+    def _originals(self, raw: str) -> list[tuple[str, float]]:
+        """(original, log probability of the misreading) of what the corpus knows far better than the token, misread once or twice."""
+        token = raw.lower()
         if len(token) == 1 and "⺀" <= token:
-            out = _CJK_OF.get(token, [])
-        elif any(c in "lIOoSBZ|" for c in raw) and len(raw) <= 4 and raw.translate(_OF_DIGIT).isdigit() and not raw.isdigit():
-            out = ["#"]
-        elif any(c.isalpha() for c in token) and len(token) > 2:
-            least = max(3, self.n(token) / NOISE)
-            first = self._once(token)
-            out = [w for w in first if self.n(w) > least]
-            if not out and sum(not c.isalpha() and c not in _HYPHENS for c in token):
-                out = [w for x in first for w in self._once(x) if self.n(w) > least]
-        self.options[raw] = out
-        return out
-
-    @staticmethod
-    def _once(token: str) -> list[str]:
-        out = set()
+            return [(true, self.cost[true, token]) for true in _CJK_OF.get(token, ())]
+        if any(c in "lIOoSBZ|" for c in raw) and len(raw) <= 4 and raw.translate(_OF_DIGIT).isdigit() and not raw.isdigit():
+            return [("#", self.of_digit)]
+        if len(token) < 3 or not any(c.isalpha() for c in token):
+            return []
+        least = max(3.0, self.n(token) * LIKELIER)
+        first = self._once(token)
+        out = {w: c for w, c in first.items() if self.n(w) > least}
+        if not out and any(not c.isalpha() and c not in _HYPHENS for c in token):
+            for x, cost in first.items():
+                for w, more in self._once(x).items():
+                    if self.n(w) > least:
+                        out[w] = max(cost + more, out.get(w, -1e9))
+        return sorted(out.items())
+
+    def _once(self, token: str) -> dict[str, float]:
+        out: dict[str, float] = {}
         for true, seen in LATIN:
             at = token.find(seen)
             while at >= 0:
-                out.add(token[:at] + true + token[at + len(seen) :])
+                word = token[:at] + true + token[at + len(seen) :]
+                out[word] = max(self.cost[true, seen], out.get(word, -1e9))
                 at = token.find(seen, at + 1)
-        return sorted(out)
+        return out
 
     def count(self, gram: str, rivals: list[str]) -> float:
         """A count without what is likely noise of the rivals' counts."""
@@ -296,39 +375,36 @@ class Channel:
     def _pair(self, a: str, b: str, others_a: list[str], others_b: list[str]) -> float:
         """Log likelihood of b after a, from pair counts backed off to single ones."""
         rivals = [f"{x}\x01{y}" for x in [a, *others_a] for y in [b, *others_b] if (x, y) != (a, b)]
-        pair = self.count(f"{a}\x01{b}", [r for r in rivals if r != f"{a}\x01{b}"])
+        pair = self.count(f"{a}\x01{b}", rivals)
         single = self.count(b, others_b)
         return log(pair + BACKOFF * single / (single + 1000.0) + 1e-3)
 
-    def decode(self, tokens: list[tuple[str, str]]) -> list[str]:
-        """The likeliest originals of (token, as written), by Viterbi over runs of tokens that have candidates."""
-        options = [self.candidates(t, raw) for t, raw in tokens]
-        out = [_class(t) for t, _ in tokens]
-        i = 0
-        while i < len(tokens):
-            if not options[i]:
-                i += 1
-                continue
+    def decode(self, raws: list[str]) -> dict[int, str]:
+        """The places of tokens that were misread and their originals, by Viterbi over runs of tokens that have candidates."""
+        options = list(map(self.options.__getitem__, raws))
+        out: dict[int, str] = {}
+        i, end = 0, len(raws)
+        for i in (k for k, o in enumerate(options) if o and not (k and options[k - 1])):
             j = i
-            while j < len(tokens) and options[j]:
+            while j < end and options[j]:
                 j += 1
+            stay = [self.plain[raw] for raw in raws[max(0, i - 1) : j + 1]]
+            before, run, after = (stay[0] if i else ""), stay[1 if i else 0 :][: j - i], (stay[-1] if j < end else "")
             # States of a place: the token as it stands and its originals; rivals of a state are the likelier originals.
-            paths: list[tuple[float, list[str]]] = [(0.0, [out[i - 1]])] if i else [(0.0, [""])]
+            paths: list[tuple[float, list[str]]] = [(0.0, [before])]
             others_before: list[str] = []
-            for k in range(i, j):
-                states = [out[k], *options[k]]
+            for k, own in enumerate(run):
+                originals = [w for w, _ in options[i + k]]
                 grown = []
-                for s in states:
-                    others = options[k] if s == out[k] else []
-                    cost = log(1 - CONFUSED) if s == out[k] else log(CONFUSED)
-                    if len(s) > 1:
-                        cost += log(self.count(s, others) + 0.05)
-                    grown.append(max((p + cost + (self._pair(path[-1], s, others_before if path[-1] == out[k - 1] and k > i else [], others) if path[-1] else 0.0), [*path, s]) for p, path in paths))
-                paths, others_before = grown, options[k]
-            if j < len(tokens):
-                paths = [(p + self._pair(path[-1], out[j], options[j - 1] if path[-1] == out[j - 1] else [], []), path) for p, path in paths]
-            out[i:j] = max(paths)[1][1:]
-            i = j
+                for state, cost in [(own, log(1 - CONFUSED)), *options[i + k]]:
+                    others = originals if state == own else []
+                    if len(state) > 1:
+                        cost += log(self.count(state, others) + 0.05) + (MIXED if _MIXED.search(state) else 0.0)
+                    grown.append(max((p + cost + (self._pair(path[-1], state, others_before if k and path[-1] == run[k - 1] else [], others) if path[-1] else 0.0), [*path, state]) for p, path in paths))
+                paths, others_before = grown, originals
+            if after:
+                paths = [(p + self._pair(path[-1], after, others_before if path[-1] == run[-1] else [], []), path) for p, path in paths]
+            out |= {i + k: word for k, (word, own) in enumerate(zip(max(paths)[1][1:], run)) if word != own}
         return out
 
 
@@ -337,7 +413,7 @@ def _joins(last: str, first: str, counts: Counts, channel: Channel) -> bool:
     whole, marked = last + first, f"{last}-{first}"
 
     def best(word: str) -> float:
-        return max([counts(word), *(counts(w) for w in channel.candidates(word, word))])
+        return max([counts(word), *(counts(w) for w, _ in channel.options[word])])
 
     return best(whole) >= best(marked) if best(whole) or best(marked) else first[:1].islower()
 
@@ -353,57 +429,56 @@ def read_page(text: str, kinds: list[str], following: str | None, counts: Counts
     """
     lines = text.split("\n")
     body = [i for i, k in enumerate(kinds) if k == "body"]
-    tokens: list[tuple[str, str]] = []
-    places: list[list[tuple[int, int, int]]] = []  # (line, start, end) of the parts of each token
+    raws: list[str] = []
+    runs: list[tuple[int, int, int, int]] = []  # (first token, line, begin, end) of stretches of lines
+    joined: dict[int, list[tuple[int, int, int]]] = {}  # (line, start, end) of the parts of tokens over two lines
     marks: set[tuple[int, str]] = set()
     carried: tuple[str, list[tuple[int, int, int]]] | None = None
     for at, i in enumerate(body):
         line = lines[i]
-        found = list(_TOKEN.finditer(line))
-        begin = 0
-        if carried and found:
+        begin, end = 0, len(line)
+        if carried and line.strip():
             rest = _GOES_ON.match(line)
-            cut = rest.end() if rest else 0
-            word = carried[0] + (rest.group(1) if rest else "")
-            tokens.append((word.lower(), word))
-            places.append([*carried[1], (i, rest.start(1), cut)] if rest else carried[1])
-            begin = cut
-        carried = None
-        end = len(line)
-        after = lines[body[at + 1]] if at + 1 < len(body) else following
-        broken = _BROKEN.search(line)
-        on = _GOES_ON.match(after) if after is not None else None
-        if broken and broken.start(1) >= begin and (on or after is None):
-            last, first = broken.group(1), on.group(1) if on else ""
-            if not on or broken.group(2) == "­" or _joins(last.lower(), first.lower(), counts, channel):
-                marks.add((i + 1, "hyphen"))
+            joined[len(raws)] = [*carried[1], (i, rest.start(1), rest.end())] if rest else carried[1]
+            raws.append(carried[0] + (rest.group(1) if rest else ""))
+            begin = rest.end() if rest else 0
+            carried = None
+        broken = _BROKEN.search(line) if line.rstrip()[-1:] in _HYPHENS else None
+        if broken and broken.start(1) >= begin:
+            after = lines[body[at + 1]] if at + 1 < len(body) else following
+            on = _GOES_ON.match(after) if after is not None else None
+            if on or after is None:
+                last, first = broken.group(1), on.group(1) if on else ""
+                goes_on = not on or broken.group(2) == "\xad" or _joins(last.lower(), first.lower(), counts, channel)
+                if goes_on:
+                    marks.add((i + 1, "hyphen"))
                 if at + 1 < len(body):
-                    carried = (last, [(i, broken.start(1), broken.end(2))])
-                    end = broken.start(1)
-                else:
+                    carried = (last if goes_on else f"{last}-", [(i, broken.start(1), broken.end(2))])
+                if at + 1 < len(body) or goes_on:
                     end = broken.start(1)
-            elif at + 1 < len(body):
-                carried = (f"{last}-", [(i, broken.start(1), broken.end(2))])
-                end = broken.start(1)
-        for m in found:
-            if m.start() >= begin and m.end() <= end:
-                tokens.append((m.group().lower(), m.group()))
-                places.append([(i, m.start(), m.end())])
-    fixed = channel.decode(tokens)
-    repaired = {i: list(lines[i]) for i in body}
-    for (token, raw), new, parts in zip(tokens, fixed, places):
-        plain = _class(token)
-        joined = len(parts) > 1
-        if new == plain and not joined:
-            continue
-        text_new = raw.translate(_OF_DIGIT) if new == "#" and plain != "#" else (raw if new == plain else _as_written(raw, new))
-        if new != plain:
-            marks.add((_line_of_change(token, new, parts, lines) + 1, "misread"))
-        for k, (i, s, e) in enumerate(parts):
-            repaired[i][s:e] = ["" for _ in range(e - s)]
-            if k == 0:
-                repaired[i][s] = text_new
-    return sorted(marks), ["".join(repaired[i]).strip() for i in body]
+        runs.append((len(raws), i, begin, end))
+        raws += _TOKEN.findall(line, begin, end)
+    fixed = channel.decode(raws)
+    firsts = [r[0] for r in runs]
+    repaired = {i: list(lines[i]) for i in {runs[bisect_right(firsts, k) - 1][1] for k in fixed if k not in joined} | {i for parts in joined.values() for i, _, _ in parts}}
+    for k in sorted({*fixed, *joined}):
+        raw, new = raws[k], fixed.get(k)
+        if not (parts := joined.get(k)):
+            first, i, begin, end = runs[bisect_right(firsts, k) - 1]
+            match = next(m for at, m in enumerate(_TOKEN.finditer(lines[i], begin, end)) if at == k - first)
+            parts = [(i, match.start(), match.end())]
+        if new is None:
+            if len(parts) == 1:
+                continue
+            shown = raw
+        else:
+            shown = raw.translate(_OF_DIGIT) if new == "#" else _as_written(raw, new)
+            marks.add((_line_of_change(raw.lower(), new, parts, lines) + 1, "misread"))
+        for at, (i, start, end) in enumerate(parts):
+            repaired[i][start:end] = ["" for _ in range(end - start)]
+            if at == 0:
+                repaired[i][start] = shown
+    return sorted(marks), ["".join(repaired.get(i, lines[i])).strip() for i in body]
 
 
 def _as_written(raw: str, new: str) -> str:
@@ -423,7 +498,8 @@ def _line_of_change(token: str, new: str, parts: list[tuple[int, int, int]], lin
 def prepared(pages: DataFrame) -> DataFrame:
     """Distinct usable pages with the running lines of their file and the first body line of the next page."""
     slim = pages.select("page_id", "file_hash", "page_number", "text").where("page_id is not null and text is not null and text <> ''")
-    base = written(slim.dropDuplicates(["page_id"]))
+    # Of rows of one page that differ, the least by file, number and text counts.
+    base = written(slim.groupBy("page_id").agg(F.min(F.struct("file_hash", "page_number", "text")).alias("r")).select("page_id", "r.*"))
     of_file, of_stretch = (written(x) for x in running_lines(base))
     known = base.withColumn("stretch", _stretch()).join(broadcast_if_small(of_file), "file_hash", "left").join(broadcast_if_small(of_stretch), ["file_hash", "stretch"], "left")
 
@@ -452,11 +528,13 @@ def _kinds(r, lines: list[str]) -> list[str]:
 
 def _over_pages(pages: DataFrame, schema: str, make) -> DataFrame:
     ready = prepared(pages)
-    counts = pages.sparkSession.sparkContext.broadcast(corpus_counts(pages.select("text").where("text is not null")))
+    grams = corpus_grams(ready.select("text"))
+    table = corpus_counts(grams)
+    shared = pages.sparkSession.sparkContext.broadcast((table, confusions(grams, table)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = Counts(counts.value)
-        channel = Channel(n)
+        n = Counts(*shared.value[0])
+        channel = Channel(n, shared.value[1])
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):

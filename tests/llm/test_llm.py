@@ -393,3 +393,37 @@ def test_word_broken_at_the_end_of_the_last_page(spark):
 @pytest.mark.parametrize(("line", "wanted"), [("- l2 -", ("-#-", 12)), ("xiv", ("roman", 14)), ("Page 7", ("p#", 7)), ("3 / 25", ("#/", 3)), ("第 4O 页", ("第#页", 40)), ("| a | 3 |", None), ("第3章", None), ("", None)])
 def test_page_numbers(line, wanted):
     assert scans.page_number(line) == wanted
+
+
+def test_edges_of_many_running_lines(spark):
+    rows = []
+    for n in range(1, 31):
+        body = [f"The {w} of the sample was registered here, and nothing has been added to this part." for w in ("group", "lens", "record")]
+        rows.append((n, "f", n, "\n".join(["Handbook of Samples", "Second Edition", "Chapter on Lenses", "Draft for Review", *body, "Printed in Town", "All for Nothing", f"- {n} -"])))
+    pages = spark.createDataFrame(rows, "page_id long, file_hash string, page_number int, text string")
+    got = {(r["page_id"], r["line_no"], r["kind"]) for r in scans.noise_of_lines(pages).collect()}
+    assert got == {(n, i, "header") for n in range(1, 31) for i in (1, 2, 3, 4, 8, 9)} | {(n, 10, "page_no") for n in range(1, 31)}
+
+
+def test_counts_and_confusions(spark):
+    lines = ["the sample of the market"] * 300 + ["the samp1e of the markct"] * 3 + ["科目"] * 50 + ["材料"] * 400 + ["材科"] * 8
+    pages = spark.createDataFrame([(x,) for x in lines], "text string")
+    grams = scans.corpus_grams(pages)
+    counts = {r["gram"]: r["n"] for r in grams.collect()}
+    assert counts["sample"] == 300 and counts["the"] == 606 and counts["材\x01科"] == 8 and counts["科"] == 58
+    table = scans.corpus_counts(grams)
+    own = scans.Counts(*table)
+    assert all(own(g) == n for g, n in counts.items()) and own("nothing") == 0
+    chances = scans.confusions(grams, table)
+    assert abs(chances["料", "科"] - (8 + 200 * 0.03) / (408 + 200)) < 1e-9
+    assert chances["e", "c"] < chances["z", "2"] == 0.03  # seen, and never seen
+    channel = scans.Channel(own, chances)
+    assert channel.decode(["The", "samp1e", "of", "the", "markct"]) == {1: "sample", 4: "market"}
+    assert channel.decode(["材", "科"]) == {1: "料"} and channel.decode(["科", "目"]) == {}
+
+
+def test_copies_of_a_page_that_differ(spark):
+    rows = [(1, "f", 1, "b text here."), (1, "f", 1, "a text here."), (1, None, 1, "c text.")]
+    frame = spark.createDataFrame(rows, "page_id long, file_hash string, page_number int, text string")
+    found = {tuple(r) for r in scans.repaired_pages(frame).collect()}
+    assert found == {tuple(r) for r in scans.repaired_pages(frame.orderBy(frame["text"].desc())).collect()} and len(found) == 1
