@@ -427,3 +427,45 @@ def test_copies_of_a_page_that_differ(spark):
     frame = spark.createDataFrame(rows, "page_id long, file_hash string, page_number int, text string")
     found = {tuple(r) for r in scans.repaired_pages(frame).collect()}
     assert found == {tuple(r) for r in scans.repaired_pages(frame.orderBy(frame["text"].desc())).collect()} and len(found) == 1
+
+
+def test_labelling_functions_are_measured(spark):
+    rng = random.Random(6)
+    names = sorted(WORDS)
+    rows = [(i, "".join(sentence(rng, names[i % 3]) for _ in range(5)), f"/{names[i % 3]}-files/notes_{i}.txt", rng.choice(["a", "b"])) for i in range(150)] + [(900, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, file_name string, source string")
+    labelled = spark.createDataFrame([(i, [i % 3]) for i in range(60)], "_k long, _a array<int>").withColumnRenamed("_a", "_areas")
+    found = {(r["value"], r["_a"]): r for r in topics.labelling_functions(docs, labelled, "doc_id", ["file_name", "source"]).collect()}
+    assert all((found[f"file_name={n}", i]["hits"], found[f"file_name={n}", i]["n"]) == (20, 20) for i, n in enumerate(names))
+    precise = {k for k, r in found.items() if r["precision"] >= topics.PRECISE}
+    assert precise == {(f"file_name={n}", i) for i, n in enumerate(names)}  # "notes", "txt" and the sources are switched off
+    weak = {r["_k"]: list(r["_areas"]) for r in topics.weak_labels(docs, labelled, "doc_id", ["file_name", "source"]).collect()}
+    assert weak == {i: [i % 3] for i in range(60, 150)}
+    areas = spark.createDataFrame([(n,) for n in names], "area string")
+    people = spark.createDataFrame([(i, names[i % 3]) for i in range(60)], "doc_id long, area string")
+    model = topics.fit_areas(docs, people, names)
+    assert model["held_out"] == 150 and model["f1"] > 0.9
+
+
+def test_model_is_saved_and_loaded(spark, tmp_path):
+    rng = random.Random(7)
+    names = sorted(WORDS)
+    docs = spark.createDataFrame([(i, "".join(sentence(rng, names[i % 3]) for _ in range(5))) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, names[i % 3]) for i in range(60)], "doc_id long, area string")
+    areas = spark.createDataFrame([(n,) for n in names], "area string")
+    model = topics.fit_areas(docs, labels, names)
+    topics.save_model(spark, model, f"file://{tmp_path}/model")
+    again = topics.areas_of(docs, labels, areas, model=topics.load_model(spark, f"file://{tmp_path}/model"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, topics.areas_of(docs, labels, areas).collect()))
+
+
+def test_cuts_by_area():
+    rng = np.random.default_rng(3)
+    truth = (rng.random((600, 2)) < 0.4).astype(np.float32)
+    own = np.where(truth > 0, 0.3, 0.08) + rng.normal(0, 0.02, truth.shape)
+    own[:, 1] = truth[:, 1] * 0.12 + 0.01  # lower shares
+    shares = np.stack([own] * len(topics.CUTS))
+    cut, least = topics.calibrate(shares, truth)
+    assert 0.14 < least[0] < 0.25 and 0.06 < least[1] < least[0]
+    assert topics.calibrated(shares, truth)["f1"] > 0.99
+    assert topics.calibrate(shares[:, :0], truth[:0])[1].tolist() == [topics.LEAST_SHARE] * 2
