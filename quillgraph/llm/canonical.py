@@ -2,8 +2,8 @@
 
 A multi-pattern automaton over the accepted names finds mentions inside a
 value; the longest of them that don't overlap win. Values without a mention go
-to token-set similarity (characters and pairs of characters), and the best
-entries by it are checked by edit distance.
+to token-set similarity (characters and pairs of characters): the entry most
+alike wins, if it is alike enough and an edit distance confirms it.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from math import ceil
 
 import ahocorasick
 import pandas as pd
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 #: Entries of the reference list that one pass holds in memory; longer lists take several passes.
 ENTRIES_PER_PASS = 20_000
 
-#: Least token-set similarity, most edits against the longer of the two names, shortest fuzzy and embedded name.
-LEAST_SIMILARITY, MOST_EDITS, SHORTEST = 0.3, 0.4, 4
+#: Least token-set similarity, most edits a character of the longer of the two names (ASCII names: near codes are other
+#: codes, so only long ones may differ), shortest embedded name.
+LEAST_SIMILARITY, MOST_EDITS, MOST_ASCII_EDITS, SHORTEST = 0.55, 0.4, 0.15, 4
 
 #: A mention counts if it makes up this share of the value's letters and numerals.
 LEAST_SHARE = 0.5
@@ -69,16 +71,15 @@ class Matcher:
             self.automaton.add_word(name, (name, term))
         if self.names:
             self.automaton.make_automaton()
-        # Codes (all ASCII) are compared as wholes: near codes are other codes.
-        self.fuzzy = [(name, term, tokens(name)) for name, term in self.names.items() if not name.isascii() and len(name) >= SHORTEST]
+        self.fuzzy = [(name, term, tokens(name)) for name, term in self.names.items()]
         self.by_token: dict[str, list[int]] = defaultdict(list)
         for i, (_, _, parts) in enumerate(self.fuzzy):
             for part in parts:
                 self.by_token[part].append(i)
-        self.known: dict[str | None, tuple[float, float, int] | None] = {}
+        self.known: dict[str | None, tuple[int, float, int, int] | None] = {}
 
-    def mention(self, text: str) -> tuple[float, float, int] | None:
-        """(0, minus its length, term) of the best of the longest mentions that don't overlap."""
+    def mention(self, text: str) -> tuple[int, float, int, int] | None:
+        """(0, minus its length, its start, term) of the best of the longest mentions that don't overlap."""
         if not self.names:
             return None
         found = []
@@ -98,28 +99,30 @@ class Matcher:
                 taken.append((size, start, end, term))
         if not taken or -taken[0][0] < LEAST_SHARE * len(text):
             return None
-        return 0.0, float(taken[0][0]), taken[0][3]
-
-    def similar(self, text: str) -> tuple[float, float, int] | None:
-        """(edits, minus the similarity, term) of the nearest entry, if it is near enough."""
-        own = tokens(text)
-        shared: dict[int, int] = defaultdict(int)
-        for part in own:
-            for i in self.by_token.get(part, ()):
-                shared[i] += 1
+        return 0, float(taken[0][0]), taken[0][1], taken[0][3]
+
+    def similar(self, text: str) -> tuple[int, float, int, int] | None:
+        """(1, minus the similarity, 0, term) of the entry most alike by its set of tokens, if it is alike enough.
+
+        An entry that is shares one of the text's rarest tokens; so many of the
+        commonest that even all of them wouldn't do aren't looked up.
+        """
+        own = sorted(tokens(text), key=lambda part: (len(self.by_token.get(part, ())), part))
+        n = len(own)
+        needed = max(1, ceil(n * LEAST_SIMILARITY / (2 - LEAST_SIMILARITY) - 1e-9))
         best = None
-        for i, n in shared.items():
+        for i in {i for part in own[: n - needed + 1] for i in self.by_token.get(part, ())}:
             name, term, parts = self.fuzzy[i]
-            alike = 2 * n / (len(own) + len(parts))
-            if alike < LEAST_SIMILARITY:
-                continue
-            most = int(MOST_EDITS * max(len(name), len(text)))
-            off = edits(text, name, most if best is None else min(most, int(best[0])))
-            if off <= most and (best is None or (off, -alike, term) < best):
-                best = (float(off), -alike, term)
-        return best
+            alike = 2 * sum(part in parts for part in own) / (n + len(parts))
+            if alike >= LEAST_SIMILARITY and (best is None or (-alike, term) < best[:2]):
+                best = (-alike, term, name)
+        if best is None:
+            return None
+        name = best[2]
+        most = int((MOST_ASCII_EDITS if name.isascii() else MOST_EDITS) * max(len(name), len(text)))
+        return (1, best[0], 0, best[1]) if edits(text, name, most) <= most else None
 
-    def match(self, value: str | None) -> tuple[float, float, int] | None:
+    def match(self, value: str | None) -> tuple[int, float, int, int] | None:
         """Rank (less is better) and term of the entry that a value means; None if it means none."""
         if value not in self.known:
             if len(self.known) > 100_000:
@@ -136,7 +139,8 @@ def map_to_entries(values: DataFrame, entries: DataFrame, key: str = "id", name:
     bears several names, the best match wins, then the smallest term. Entries
     with null names or aliases are used as far as they go; an empty list maps
     everything to 0. Values are read once for each ``per_pass`` entries, in
-    place; only the best match by key is shuffled.
+    place; only the best match by key is shuffled. Matches rank alike in one pass
+    and in several: mentions by length, place and term, then the most alike.
     """
     spark = values.sparkSession
     slim = values.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{name}`").alias("_n")).where("_k is not null")
@@ -153,12 +157,12 @@ def map_to_entries(values: DataFrame, entries: DataFrame, key: str = "id", name:
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             matcher = Matcher(held.value)
             for batch in batches:
-                found = [matcher.match(x) or (9e9, 0.0, 0) for x in batch["_n"]]
-                yield pd.DataFrame({"_k": batch["_k"], "off": [f[0] for f in found], "less": [f[1] for f in found], "t": [f[2] for f in found]})
+                found = [matcher.match(x) or (9, 0.0, 0, 0) for x in batch["_n"]]
+                yield pd.DataFrame({"_k": batch["_k"], "how": [f[0] for f in found], "less": [f[1] for f in found], "start": [f[2] for f in found], "t": [f[3] for f in found]})
 
-        results.append(slim.mapInPandas(run, f"_k {kind}, off double, less double, t long"))
+        results.append(slim.mapInPandas(run, f"_k {kind}, how int, less double, start int, t long"))
     found = results[0]
     for other in results[1:]:
         found = found.unionByName(other)
-    best = found.groupBy("_k").agg(F.min(F.struct("off", "less", "t")).alias("best"))
+    best = found.groupBy("_k").agg(F.min(F.struct("how", "less", "start", "t")).alias("best"))
     return best.select(F.col("_k").alias(key), F.col("best.t").cast("int").alias(term))

@@ -141,9 +141,10 @@ def test_matches_by_status(spark):
 
 # ---- canonical names
 
-ENTRIES = [(1, "混合性视神经血管闭塞", ["LKVIMX"]), (2, "混合性视神经剥脱综合征", []), (3, "云杉台式眼压计", ["HML-ISR", None]), (4, None, ["XBFEBS"]), (5, "云杉台式", None)]
+ENTRIES = [(1, "混合性视神经血管闭塞", ["LKVIMX"]), (2, "混合性视神经剥脱综合征", []), (3, "云杉台式眼压计", ["HML-ISR", None]), (4, None, ["XBFEBS"]), (5, "云杉台式", None), (6, "Opticlear Drops", []), (7, "近视镜", []), (8, "屈光参差", None), (9, "视网膜病", None)]
 NAMES = {
     "混合性视神经血管闭塞": 1, "混合性视神经血管闭一": 1, "混合性視神经血管闭 塞": 1, "混性合视神经剥脱综合征": 2, "旧云杉台式眼压计": 3, "【云杉 台式眼压计】": 3, "hml-isr": 3, "HMLISR": 3, "HMLISX": 0,
+    "Opticlaer drops": 6, "opticler-drops": 6, "Optical drum": 0, "近镜视": 7, "近视": 7, "视网膜病屈光参差": 9, "屈光参差视网膜病": 8,
     "ＬＫＶＩＭＸ": 1, "xbfebs": 4, "云杉台式眼": 5, "同上": 0, "??": 0, "": 0, None: 0, "云杉眶骨膜细胞稀疏量表": 0,
 }
 
@@ -159,6 +160,20 @@ def test_mapping(spark, per_pass):
     assert canonical.map_to_entries(values.limit(0), entries).isEmpty()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="甲乙丙丁", min_size=1, max_size=6), max_size=12), st.text(alphabet="甲乙丙丁", min_size=1, max_size=7))
+def test_most_alike(names, text):
+    matcher = canonical.Matcher([(i, [x]) for i, x in enumerate(names)])
+    own = canonical.tokens(text)
+    best = min(((-2 * len(own & canonical.tokens(x)) / (len(own) + len(canonical.tokens(x))), t, x) for x, t in matcher.names.items()), default=None)
+    wanted = None
+    if best and -best[0] >= canonical.LEAST_SIMILARITY:
+        most = int(canonical.MOST_EDITS * max(len(best[2]), len(text)))
+        wanted = best[1] if canonical.edits(text, best[2], most) <= most else None
+    found = matcher.similar(text)
+    assert (found and found[3]) == wanted
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="abc", max_size=7), st.text(alphabet="abc", max_size=7))
 def test_edits(a, b):
@@ -466,6 +481,6 @@ def test_cuts_by_area():
     own[:, 1] = truth[:, 1] * 0.12 + 0.01  # lower shares
     shares = np.stack([own] * len(topics.CUTS))
     cut, least = topics.calibrate(shares, truth)
-    assert 0.14 < least[0] < 0.25 and 0.06 < least[1] < least[0]
+    assert 0.1 < least[0] < 0.28 and 0.04 < least[1] <= min(0.125, least[0])
     assert topics.calibrated(shares, truth)["f1"] > 0.99
     assert topics.calibrate(shares[:, :0], truth[:0])[1].tolist() == [topics.LEAST_SHARE] * 2
