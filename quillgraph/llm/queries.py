@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
+from ..sizing import durable
 from . import canonical, components, dedup, mixing, neighbours, scans, splitting, tokens, topics
 
 
@@ -72,8 +73,8 @@ def _sized(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = _sized(spark, folder).select("source", F.col("tokens").alias("size"))
-    return mixing.source_budget(sizes, table(spark, folder, "mix_plan")).where("short").select("source")
+    """Sources of which the mix takes all that it may and still has too little."""
+    return p9_shares(spark, folder).where("short").select("source")
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,8 +82,6 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
-    from ..sizing import durable
-
     sized, plan = durable(_sized(spark, folder)), table(spark, folder, "mix_plan")
     return mixing.shares_reached(mixing.mix(sized, plan), sized, plan)
 

@@ -142,6 +142,19 @@ class ByteEncoder:
         return b"".join(blob[offset[i] : offset[i + 1]] for i in ids).decode("utf-8", "replace")
 
 
+def _kept_encoder(ranks: bytes) -> ByteEncoder:
+    """The encoder of these ranks, made once in each worker process.
+
+    It is kept with an imported module, as functions sent to workers bring new
+    globals with every task.
+    """
+    kept = ahocorasick.__dict__.setdefault("_encoders", {})
+    if (encoder := kept.get(ranks)) is None:
+        kept.clear()
+        encoder = kept[ranks] = ByteEncoder(ranks)
+    return encoder
+
+
 def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, ids, *keep): the token ids of each row's text, in one pass without a shuffle.
 
@@ -157,7 +170,7 @@ def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ByteEncoder(ranks.value)
+        encoder = _kept_encoder(ranks.value)
         for batch in batches:
             done = batch.drop(columns=[c for c in (text,) if c not in (key, *keep)])
             done.insert(1, "ids", [encoder.encode(x) for x in batch[text]])
