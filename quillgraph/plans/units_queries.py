@@ -25,7 +25,7 @@ def _sql() -> str:
     def pattern(p: str) -> str:
         return lit(p.replace(r" ", " "))
 
-    rows = ", ".join(f"({lit(u)}, {lit(q)}, {f!r})" for q, f, names in units.UNITS for u in names)
+    rows = ", ".join(f"({lit(u)}, {lit(q)}, {f!r}, {o!r})" for q, f, o, names in units.UNITS for u in names)
     digits = "一二三四五六七八九"
     num = "CAST(replace(CASE WHEN regexp_matches({0}, ',[0-9]{{3}}([^0-9]|$)') THEN replace({0}, ',', '') ELSE {0} END, ',', '.') AS DOUBLE)"
     place = "CASE WHEN {0} LIKE '%{1}%' THEN {2} * coalesce(nullif(instr('" + digits + "', nullif(regexp_extract({0}, '([" + digits + "]){1}', 1), '')), 0), 1) ELSE 0 END"
@@ -33,9 +33,15 @@ def _sql() -> str:
     words += f" + coalesce(instr('{digits}', nullif(regexp_extract(w, '([{digits}])半?$', 1), '')), 0) + CASE WHEN w LIKE '%半%' THEN 0.5 ELSE 0 END"
     D, W, R = (pattern(p) for p in (units.DIGITS_PATTERN, units.WORDS_PATTERN, units.FRACTION_PATTERN))
     plain = "trim(regexp_replace(lower(translate({0}, " + lit(units.FROM) + ", " + lit(units.TO) + ")), '[\\s ]+', ' ', 'g'))"
+    # The same words as in the operator, without a look behind: a letter before the word is kept as it is.
+    amounts = (("half", "0.5"), ("two", "2"), ("three", "3"), ("four", "4"), ("five", "5"), ("six", "6"), ("seven", "7"), ("eight", "8"), ("nine", "9"), ("ten", "10"))
+    name = plain.replace("{0}", "name")
+    for word, digits in amounts:
+        name = f"regexp_replace({name}, '(^|[^a-z])(?:{'a ' if word == 'half' else ''}{'|' if word == 'half' else ''}){word} (?:an? )?(hour|day|week|minute)', '\\1{digits} \\2', 'g')"
+    name = f"regexp_replace(regexp_replace({name}, '(^|[^a-z])(?:a |)quarter (?:of an?|an?) (hour)', '\\10.25 \\2', 'g'), '(^|[^a-z])(?:an?|one) (hour|day|week|minute)', '\\11 \\2', 'g')"
     return f"""
-WITH u(alias, quantity, factor) AS (VALUES {rows}),
-s AS (SELECT DISTINCT id, {plain.replace("{0}", "name")} AS s, {plain.replace("{0}", "props['unit']")} AS g FROM entity_node WHERE id IS NOT NULL AND name IS NOT NULL),
+WITH u(alias, quantity, factor, "offset") AS (VALUES {rows}),
+s AS (SELECT DISTINCT id, {name} AS s, {plain.replace("{0}", "props['unit']")} AS g FROM entity_node WHERE id IS NOT NULL AND name IS NOT NULL),
 d AS (SELECT id, regexp_extract(s, {D}, 1) AS label, regexp_extract(s, {D}, 2) AS n, regexp_extract(s, {D}, 4) AS m,
              replace(coalesce(nullif(regexp_extract(s, {D}, 3), ''), g), ' ', '') AS alias FROM s WHERE regexp_matches(s, {D})),
 w0 AS (SELECT id, regexp_extract(s, {W}, 1) AS label, translate(regexp_extract(s, {W}, 2), '两〇', '二零') AS w, regexp_extract(s, {W}, 3) AS a
@@ -50,7 +56,7 @@ p AS (
          replace(replace(a, '个半小时', '小时'), ' ', '') FROM w0
   UNION ALL
   SELECT id, label, coalesce(CAST(x AS DOUBLE), {words}) * 100 / CASE per WHEN '百' THEN 100 WHEN '千' THEN 1000 ELSE 10000 END, 0, false, '%' FROM f)
-SELECT DISTINCT id, quantity, CAST(round(n * factor + more) AS BIGINT) AS value_int
+SELECT DISTINCT id, quantity, CAST(round(n * factor + u."offset" + more) AS BIGINT) AS value_int
 FROM p JOIN u USING (alias)
 WHERE NOT regexp_matches(label, {lit(units.OTHER_LABELS)}) AND (NOT two OR quantity = 'duration')
 """

@@ -26,6 +26,13 @@ def test_cases(spark):
     assert {name: found.get(str(i)) for i, name in enumerate(CASES)} == CASES
 
 
+def test_order_of_units(spark):
+    rows = [("a", "眼压16", {"unit": "kPa"}, "x"), ("b", "眼压16", None, "x"), ("c", "眼压16", None, "y"), ("d", "眼压16", {"unit": ""}, "x"), ("e", "眼压16 Pa", None, "x"), ("f", "眼压16 Pa", {"unit": "kPa"}, None)]
+    df = spark.createDataFrame(rows, "id string, name string, props map<string,string>, source string")
+    found = {r["id"]: r["value_int"] for r in units.measured_quantities(df, source_units={"x": "mmHg"}).collect()}
+    assert found == {"a": 1200, "b": 160, "d": 160, "e": 1, "f": 1200}
+
+
 def test_unit_in_props_and_empty(spark):
     rows = [("a", "停戴 4.5/次", {"unit": "h"}, 1), ("b", "OD 0.75 (复查)", {"unit": "DS"}, 1), ("c", "OD 0.75", {}, 1), ("d", "眼压16", {"unit": "岁"}, None)]
     assert measured(spark, rows) == {"a": ("duration", 270), "b": ("refraction", 75)}
