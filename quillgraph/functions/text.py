@@ -13,9 +13,11 @@ NAME_TO = "ˋ＼：＊？［］｛｝｜；（）"
 
 # Reserved words of the query language.
 KEYWORDS = (
-    "MATCH WHERE RETURN CREATE MERGE DELETE DETACH SET REMOVE WITH UNION UNWIND ORDER SKIP LIMIT OPTIONAL CALL YIELD FOREACH CASE WHEN THEN ELSE END "
-    "AND OR XOR NOT IN STARTS ENDS CONTAINS IS NULL TRUE FALSE AS DISTINCT ASC DESC"
-).split()
+    "MATCH", "WHERE", "RETURN", "CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "WITH", "UNION", "UNWIND",
+    "ORDER", "SKIP", "LIMIT", "OPTIONAL", "CALL", "YIELD", "FOREACH", "CASE", "WHEN", "THEN", "ELSE", "END",
+    "AND", "OR", "XOR", "NOT", "IN", "STARTS", "ENDS", "CONTAINS", "IS", "NULL", "TRUE", "FALSE",
+    "AS", "DISTINCT", "ASC", "DESC",
+)
 
 # Names that are fragments of sentences.
 STOP_PATTERNS = (
@@ -25,17 +27,31 @@ STOP_PATTERNS = (
 
 # Names that are no entities, and parts that entity names don't have.
 FORBIDDEN = (
-    "青少年 家长 儿童 学生 患者 医生 专家 老师 学校 医院 机构 我们 你们 他们 眼睛 眼部 眼球 视力表 检查 治疗 手术 问题 原因 方法 措施 情况 结果 影响 "
-    "建议 提示 注意 可能 可以 需要 Entity type"
-).split()
-BAD_CHARACTERS = "/\\{}[]<>|`~"
+    "青少年", "家长", "儿童", "学生", "患者", "医生", "专家", "老师", "学校", "医院", "机构", "我们",
+    "你们", "他们", "眼睛", "眼部", "眼球", "视力表", "检查", "治疗", "手术", "问题", "原因", "方法",
+    "措施", "情况", "结果", "影响", "建议", "提示", "注意", "可能", "可以", "需要", "Entity", "type",
+)
+BAD_CHARACTERS = ("/", "\\", "{", "}", "[", "]", "<", ">", "|", "`", "~")
 BAD_PREFIXES = ("http", "https", "ftp", "www", "file:", "mailto:")
 BAD_SUFFIXES = (".pdf", ".txt", ".doc", ".docx", ".jpg", ".png", ".json", ".xml", ".html")
 INSTITUTION_SUFFIXES = ("中心", "医院", "门诊", "科室", "机构", "公司", "集团", "学校", "大学", "学院", "研究所", "实验室")
 INSTITUTION_ALLOWED = ("中心凹", "黄斑中心凹")
+INSTITUTION_WORDS = ("视光中心", "眼视光中心", "眼科中心", "眼视光机构")
 SYSTEM_SUFFIXES = ("系统", "平台", "软件", "客户端", "服务端", "APP")
+SYSTEM_WORDS = (
+    "电子病历系统", "EMR", "HIS", "LIS", "PACS", "RIS", "挂号系统", "收费系统", "就诊平台", "预约平台", "管理系统", "医院信息系统", "医疗信息系统",
+)
 LONGEST_NAME = 50
 
+# Marks of which alone no name or relation is made.
+EMPTY_MARKS = (
+    ",", ".", "。", "，", "、", " ", "\\", "/", ";", ":", "?", "!", "'", '"', "(", ")", "[", "]", "{", "}", "-", "_", "+", "=", "*", "&", "^", "%", "$", "#", "@", "~", "`", "<",
+    ">", "|",
+)
+
+# Pieces of a query that changes something.
+INJECTIONS = (r";\s*DROP\s+", r";\s*DELETE\s+", r";\s*CREATE\s+", r"EXEC\s*\(", r"EXECUTE\s*\(")
+
 # Modifiers taken off names, in this order, once each.
 MODIFIERS = (
     "^严重的", "^轻度的", "^早期的", "^晚期的", "^急性的", "^慢性的", "^原发性", "^继发性", "^先天性", "^后天性", "^进行性", "^明显的", "^显著的", "^可能的",
@@ -48,7 +64,7 @@ SYNONYMS = {
     "ICL": "ICL植入术", "AL": "眼轴长度", "IOP": "眼压", "K值": "角膜曲率",
 }
 
-PUNCTUATION_ONLY = r"^[\p{P}\p{S}\s]+$"
+PUNCTUATION_ONLY = "^[" + "".join("\\" + m for m in EMPTY_MARKS) + "]*$"
 _CJK = r"[\x{4e00}-\x{9fff}]"
 
 
@@ -82,14 +98,14 @@ def _no_controls(text: Column) -> Column:
 def sanitize_relation(relation: Column) -> Column:
     """A relation label; ``REL_`` before a reserved word, 关联 for null or nothing left."""
     out = _no_controls(relation)
-    named = F.when(F.upper(out).isin(KEYWORDS), F.concat(F.lit("REL_"), out)).otherwise(out)
+    named = F.when(F.upper(out).isin(list(KEYWORDS)), F.concat(F.lit("REL_"), out)).otherwise(out)
     return F.coalesce(F.nullif(named, F.lit("")), F.lit("关联"))
 
 
 def sanitize_type(kind: Column) -> Column:
     """An entity type; ``Type_`` before a reserved word, ``Entity`` for null or nothing left."""
     out = _no_controls(kind)
-    named = F.when(F.upper(out).isin(KEYWORDS), F.concat(F.lit("Type_"), out)).otherwise(out)
+    named = F.when(F.upper(out).isin(list(KEYWORDS)), F.concat(F.lit("Type_"), out)).otherwise(out)
     return F.coalesce(F.nullif(named, F.lit("")), F.lit("Entity"))
 
 
@@ -103,7 +119,8 @@ def default_type(kind: Column, default: str = "概念") -> Column:
 
 
 def is_punctuation(text: Column) -> Column:
-    return text.rlike(PUNCTUATION_ONLY)
+    """Whether a name or relation is null, empty or made of EMPTY_MARKS alone."""
+    return F.coalesce(text.rlike(PUNCTUATION_ONLY), F.lit(True))
 
 
 def stop_reason(name: Column, longest: int = 15) -> Column:
@@ -120,14 +137,15 @@ def is_valid_entity(name: Column) -> Column:
 
     clean = F.trim(name)
     return F.coalesce(
-        (F.char_length(clean) >= 2)
-        & (F.char_length(clean) <= LONGEST_NAME)
-        & ~clean.isin(FORBIDDEN)
-        & ~any_of(clean.contains, BAD_CHARACTERS)
-        & ~any_of(F.lower(clean).startswith, BAD_PREFIXES)
-        & ~any_of(F.lower(clean).endswith, BAD_SUFFIXES)
-        & (~any_of(clean.endswith, INSTITUTION_SUFFIXES) | clean.isin(list(INSTITUTION_ALLOWED)))
-        & ~any_of(clean.endswith, SYSTEM_SUFFIXES),
+        (F.char_length(name) >= 1)
+        & (F.char_length(name) <= LONGEST_NAME)
+        & ~name.isin(list(FORBIDDEN))
+        & ~any_of(name.contains, BAD_CHARACTERS)
+        & ~any_of(F.lower(name).startswith, BAD_PREFIXES)
+        & ~any_of(F.lower(name).endswith, BAD_SUFFIXES)
+        & (clean.isin(list(INSTITUTION_ALLOWED)) | ~(any_of(clean.endswith, INSTITUTION_SUFFIXES) | any_of(clean.contains, INSTITUTION_WORDS)))
+        & ~any_of(clean.endswith, SYSTEM_SUFFIXES)
+        & ~any_of(clean.contains, SYSTEM_WORDS),
         F.lit(False),
     )
 
@@ -161,8 +179,8 @@ def is_noise(text: Column, shortest: int = 50, letters: str = _CJK, short: int =
 
 
 def injection_suspect(text: Column) -> Column:
-    """Whether a text holds a piece of a query that changes or closes something."""
-    return F.coalesce(text.rlike(r"(?i)(;\s*(match|create|delete|drop|merge)\b|\bdetach\s+delete\b|\bdrop\s+(constraint|index)\b|//|/\*|\bor\s+1\s*=\s*1\b|'\s*or\s*')"), F.lit(False))
+    """Whether a text holds one of INJECTIONS, in any case; null and empty texts don't."""
+    return F.coalesce(text.rlike("(?i)" + "|".join(INJECTIONS)), F.lit(False))
 
 
 def extension(path: Column) -> Column:
@@ -190,14 +208,16 @@ def object_key(path: Column, day: Column, content: Column) -> Column:
 
 
 def clean_scan(text: Column) -> Column:
-    """Scanned text without fences, outer blanks of lines, blank lines and long repeats of a character."""
-    lines = F.transform(F.split(F.regexp_replace(text, r"```[a-zA-Z]*", ""), "\n"), lambda x: F.trim(x))
-    return F.regexp_replace(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), r"(.)\1{8,}", "$1")
+    """Scanned text without a fence at its very start and end, outer blanks of lines and blank lines."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?i)^```(markdown)?\s*", ""), r"\s*```$", "")
+    lines = F.transform(F.split(bare, r"\r\n|[\n\r]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def needs_rescan(text: Column) -> Column:
-    """Fewer than 30 CJK characters and no table."""
-    return F.coalesce((F.regexp_count(text, F.lit(_CJK)) < 30) & ~text.contains("|") & ~F.lower(text).contains("<table"), F.lit(True))
+    """Fewer than 30 CJK characters and no table, that is no line with two bars or no ``|---``; null texts need it."""
+    table = text.rlike(r"\|.*\|") & text.contains("|---")
+    return F.coalesce((F.regexp_count(text, F.lit(_CJK)) < 30) & ~table, F.lit(True))
 
 
 def embedding_text(name: Column, label: Column) -> Column:

@@ -36,7 +36,10 @@ def default_types(spark, d):
 
 
 def punctuation_names(spark, d):
-    return _names(spark, d).where(t.is_punctuation(F.col("head")) | t.is_punctuation(F.col("tail"))).select("triplet_id")
+    """Triplets with a head, relation or tail that is null or of marks alone; a bare mark stands in for one of the three in every 37th to 39th."""
+    parts = {n: F.when(F.pmod("triplet_id", F.lit(37 + i)) == 0, F.lit(mark)).otherwise(F.col(n)) for i, (n, mark) in enumerate((("head", " -"), ("relation", "℃"), ("tail", "（）")))}
+    n = _names(spark, d).withColumns(parts)
+    return n.where(t.is_punctuation(F.col("head")) | t.is_punctuation(F.col("relation")) | t.is_punctuation(F.col("tail"))).select("triplet_id")
 
 
 def stop_names(spark, d):
@@ -45,8 +48,11 @@ def stop_names(spark, d):
 
 
 def valid_entities(spark, d):
+    """Ids whose name can be an entity's; names with words that mustn't be in one are planted beside the real ones."""
     n = table(spark, d, "entity_node").select("id", "name").distinct()
-    return n.where(t.is_valid_entity(F.col("name"))).select("id")
+    planted = F.array(*[F.concat("name", F.lit(x)) for x in ("", "眼科中心一部", "EMR", "系统", "APP.pdf", "门诊")], F.lit("中心凹"), F.lit("患者"), F.lit("眼"), F.lit(""))
+    tried = n.select("id", F.posexplode(planted).alias("form", "name"))
+    return tried.where(t.is_valid_entity(F.col("name"))).select("id", "form", F.char_length("name").alias("n_chars"))
 
 
 def complete_triplets(spark, d):
@@ -73,7 +79,10 @@ def noise_chunks(spark, d):
 
 
 def injection_suspects(spark, d):
-    return table(spark, d, "documents").where(t.injection_suspect(F.col("text"))).select("doc_id")
+    """Documents with a piece of a query that changes something; such pieces, and harmless ones, are put after their texts."""
+    ends = F.array(*map(F.lit, ("; DROP TABLE x", ";delete  from x", "x;\nCREATE (n)", "exec (1)", "EXECUTE('x')", "; dropping x", "DELETE FROM x", "executed (1)", "http://a.b/c")))
+    docs = table(spark, d, "documents").select("doc_id", F.concat("text", F.element_at(ends, (F.pmod("doc_id", F.lit(9)) + 1).cast("int"))).alias("text"))
+    return docs.where(t.injection_suspect(F.col("text"))).select("doc_id")
 
 
 def file_kinds(spark, d):
@@ -151,7 +160,36 @@ def json_extracted(spark, d):
 
 
 def json_validated(spark, d):
-    return table(spark, d, "events").groupBy(j.has_keys(F.col("props"), ["k"]).alias("ok")).agg(F.count(F.lit(1)).alias("n"))
+    """Events by whether their properties have the key, and a number or a string under it."""
+    e = table(spark, d, "events").select("props")
+    kinds = [j.has_keys(F.col("props"), ["k"]).alias("ok"), j.has_fields(F.col("props"), {"k": "number"}).alias("number"), j.has_fields(F.col("props"), {"k": "string"}).alias("text")]
+    return e.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n"))
+
+
+def json_lines(spark, d):
+    """Entities from output of one a line: nations of a region as objects, bare words and objects without quotes."""
+    n = table(spark, d, "nation").select("n_regionkey", "n_nationkey", "n_name")
+    form = F.pmod("n_nationkey", F.lit(3))
+    line = F.when(form == 0, F.to_json(F.struct(F.col("n_name").alias("entity"), F.lit("nation").alias("category")))).when(form == 1, F.col("n_name")).otherwise(F.concat(F.lit("{name: '"), "n_name", F.lit("', key: "), "n_nationkey", F.lit(",}")))
+    said = n.withColumn("line", line).groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("said"))
+    return said.select("n_regionkey", F.explode(j.entities(F.concat(F.lit("\n"), "said"))).alias("e")).select("n_regionkey", "e.name", "e.type", F.col("e.other")["key"].alias("key"))
+
+
+def json_fallback(spark, d):
+    """Properties inside words, cut off, in the wrong order of brackets, with comments and with apostrophes."""
+    e = table(spark, d, "events").select("event_id", "props")
+    way = F.pmod("event_id", F.lit(5))
+    body = F.regexp_replace("props", "[}]$", "")
+    broken = (
+        F.when(way == 0, F.concat(F.lit("Here it is {unclosed: "), "props"))
+        .when(way == 1, F.concat(F.lit("```json\n[1, "), body, F.lit("]\n``` and more")))
+        .when(way == 2, F.concat(F.lit("// as asked\n"), body, F.lit(", 'it': 'it's here', list: [1, 2}")))
+        .when(way == 3, F.concat(F.lit("/* so */ "), body, F.lit(", note: \"see http://a.b\"")))
+        .otherwise(F.lit("nothing to say"))
+    )
+    v = j.safe_parse(broken)
+    k = F.coalesce(*[F.try_variant_get(v, path, "int") for path in ("$.k", "$[1].k", "$.unclosed.k")])
+    return e.select("event_id", k.alias("k"))
 
 
 def _model_output(spark, d):
@@ -245,16 +283,20 @@ def _sql() -> dict[str, str]:
         return f"coalesce(nullif(CASE WHEN upper({controls(c)}) IN ({words}) THEN '{prefix}' || {controls(c)} ELSE {controls(c)} END, ''), '{default}')"
 
     stops = "|".join(f"(?:{p})" for p in t.STOP_PATTERNS)
-    punct = _lit(t.PUNCTUATION_ONLY)
+    def marks(c: str) -> str:
+        """Nothing is left of a value without the marks of which alone no name is made."""
+        return f"translate({c}, ',.。，、 \\/;:?!''\"()[]{{}}-_+=*&^%$#@~`<>|', '') = ''"
+
     mods = "tail"
     for p in t.MODIFIERS:
         mods = f"regexp_replace({mods}, {_lit(p)}, '')"
     synonyms = " ".join(f"WHEN {_lit(a)} THEN {_lit(b)}" for a, b in t.SYNONYMS.items())
     lens = "regexp_extract(c, '^([+-]?[0-9]+\\.?[0-9]*)\\s*[Dd][Ss]?$', 1)"
     cjk = "len(regexp_extract_all(text, '[一-鿿]'))"
-    valid = f"""length(n) BETWEEN 2 AND {t.LONGEST_NAME} AND n NOT IN ({", ".join(map(_lit, t.FORBIDDEN))}) AND NOT {_any("contains(n, {})", t.BAD_CHARACTERS)}
-AND NOT {_any("starts_with(lower(n), {})", t.BAD_PREFIXES)} AND NOT {_any("ends_with(lower(n), {})", t.BAD_SUFFIXES)}
-AND (NOT {_any("ends_with(n, {})", t.INSTITUTION_SUFFIXES)} OR n IN ({", ".join(map(_lit, t.INSTITUTION_ALLOWED))})) AND NOT {_any("ends_with(n, {})", t.SYSTEM_SUFFIXES)}"""
+    valid = f"""length(n) BETWEEN 1 AND 50 AND n NOT IN ({", ".join(map(_lit, t.FORBIDDEN))}) AND NOT regexp_matches(n, '[/\\\\{{}}\\[\\]<>|`~]')
+AND NOT regexp_matches(n, '(?i)^(http|https|ftp|www|file:|mailto:)') AND NOT regexp_matches(n, '(?i)\\.(pdf|txt|doc|docx|jpg|png|json|xml|html)$')
+AND (trim(n) IN ('中心凹', '黄斑中心凹') OR NOT regexp_matches(trim(n), '(中心|医院|门诊|科室|机构|公司|集团|学校|大学|学院|研究所|实验室)$|视光中心|眼视光中心|眼科中心|眼视光机构'))
+AND NOT regexp_matches(trim(n), '(系统|平台|软件|客户端|服务端|APP)$|电子病历系统|EMR|HIS|LIS|PACS|RIS|挂号系统|收费系统|就诊平台|预约平台|管理系统|医院信息系统|医疗信息系统')"""
     esc = _chain("left(text, 1000)", [("'\\'", "'\\\\'"), ("''''", "'\\'''"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'"), ("chr(8)", "'\\b'"), ("chr(12)", "'\\f'")])
     think = "regexp_replace(regexp_replace(text, '(?is)<think>.*?</think>', '', 'g'), '(?is)<think>.*$', '')"
     pages = "(SELECT DISTINCT page_id, text FROM ocr_page)"
@@ -265,10 +307,12 @@ AND (NOT {_any("ends_with(n, {})", t.INSTITUTION_SUFFIXES)} OR n IN ({", ".join(
         "sanitize_names": f"SELECT triplet_id, {name('head')} AS head, {name('tail')} AS tail FROM triplet",
         "sanitize_relations": f"SELECT triplet_id, {labelled('relation', 'REL_', '关联')} AS relation, {labelled('head_type', 'Type_', 'Entity')} AS head_type FROM triplet",
         "default_types": "SELECT coalesce(nullif(trim(head_type), ''), '概念') AS head_type, count(*) AS n FROM triplet GROUP BY 1",
-        "punctuation_names": f"SELECT triplet_id FROM triplet WHERE regexp_matches(head, {punct}) OR regexp_matches(tail, {punct})",
+        "punctuation_names": f"""WITH p AS (SELECT triplet_id, CASE WHEN triplet_id % 37 = 0 THEN ' -' ELSE head END AS h, CASE WHEN triplet_id % 38 = 0 THEN '℃' ELSE relation END AS r, CASE WHEN triplet_id % 39 = 0 THEN '（）' ELSE tail END AS t FROM triplet)
+SELECT triplet_id FROM p WHERE coalesce({marks('h')}, true) OR coalesce({marks('r')}, true) OR coalesce({marks('t')}, true)""",
         "stop_names": f"""SELECT id, reason FROM (SELECT DISTINCT id, name, CASE WHEN length(name) > 15 THEN 'Length > 15' WHEN regexp_matches(name, {_lit(stops)}) THEN 'Matches Stop Pattern' END AS reason
 FROM entity_node WHERE name <> '') WHERE reason IS NOT NULL""",
-        "valid_entities": f"SELECT id FROM (SELECT DISTINCT id, trim(name) AS n FROM entity_node) WHERE {valid}",
+        "valid_entities": f"""SELECT id, form, length(n) AS n_chars FROM (SELECT id, unnest(range(10)) AS form, unnest([name, name || '眼科中心一部', name || 'EMR', name || '系统', name || 'APP.pdf', name || '门诊', '中心凹', '患者', '眼', '']) AS n
+FROM (SELECT DISTINCT id, name FROM entity_node)) WHERE {valid}""",
         "complete_triplets": "SELECT relation, count(*) AS n FROM triplet WHERE trim(head) <> '' AND trim(relation) <> '' AND trim(tail) <> '' AND trim(head) <> trim(tail) GROUP BY relation",
         "remove_modifiers": f"SELECT triplet_id, {mods} AS tail FROM triplet",
         "normalize_names": f"""SELECT id, CASE WHEN name <> '' THEN coalesce(CASE c {synonyms} END, CASE WHEN {lens} <> '' THEN CAST(CAST(trunc(CAST({lens} AS DOUBLE) * 100) AS BIGINT) AS VARCHAR) || '度' END, c) ELSE name END AS name
@@ -276,7 +320,8 @@ FROM (SELECT DISTINCT id, name, {name('name')} AS c FROM entity_node)""",
         "strip_fences": f"""SELECT page_id, md5(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(o, '(?s)```[a-zA-Z]*\\s*\\n?(.*?)```', 1), ''), o), '(?m)^[ \\t]*//.*$\\n?', '', 'g'), '^\\s+|\\s+$', '', 'g')) AS digest
 FROM (SELECT page_id, {think} AS o FROM {pages})""",
         "noise_chunks": f"""SELECT DISTINCT item_id FROM document_index WHERE length(text) < 50 OR {cjk} / greatest(length(text), 1) < CASE WHEN length(text) <= 200 THEN 0.30 ELSE 0.20 END""",
-        "injection_suspects": """SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(;\\s*(match|create|delete|drop|merge)\\b|\\bdetach\\s+delete\\b|\\bdrop\\s+(constraint|index)\\b|//|/\\*|\\bor\\s+1\\s*=\\s*1\\b|''\\s*or\\s*'')')""",
+        "injection_suspects": r"""SELECT doc_id FROM (SELECT doc_id, text || ['; DROP TABLE x', ';delete  from x', 'x;' || chr(10) || 'CREATE (n)', 'exec (1)', 'EXECUTE(''x'')', '; dropping x', 'DELETE FROM x', 'executed (1)', 'http://a.b/c'][doc_id % 9 + 1] AS s FROM documents)
+WHERE regexp_matches(upper(s), ';\s*(DROP|DELETE|CREATE)\s|EXEC(UTE)?\s*\(')""",
         "file_kinds": """SELECT coalesce(nullif(lower(regexp_extract(n, '(?i)[._](pdf|docx|doc|txt|md)$', 1)), ''), 'other') AS kind, lower(regexp_extract(regexp_replace(n, '_(pdf|docx|txt)$', '.\\1'), '\\.([^./\\\\]+)$', 1)) AS suffix, count(*) AS n
 FROM (SELECT item_id, any_value(metadata['file_name']) AS n FROM document_index GROUP BY item_id) GROUP BY 1, 2""",
         "url_stems": "SELECT regexp_replace(file_name, '\\.[^.]*$', '') AS stem, count(*) AS n FROM documents WHERE file_name IS NOT NULL GROUP BY 1",
@@ -291,9 +336,14 @@ FROM (SELECT item_id, any_value(metadata['file_name']) AS n FROM document_index
         "props_parsed": "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events",
         "json_repaired": "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events",
         "json_extracted": "SELECT event_id, props AS found FROM events",
-        "json_validated": "SELECT json_exists(props, '$.k') AS ok, count(*) AS n FROM events GROUP BY 1",
+        "clean_scans": f"""WITH q AS (SELECT page_id, regexp_replace(regexp_replace(text, '^```(?i:markdown)?\\s*', ''), '\\s*```$', '') AS b, text FROM {pages})
+SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split_regex(b, '\\r\\n|[\\n\\r]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10))) AS digest,
+coalesce({cjk} < 30 AND NOT (regexp_matches(text, '\\|[^\\n]*\\|') AND contains(text, '|---')), true) AS rescan FROM q""",
+        "json_validated": "SELECT json_exists(props, '$.k') AS ok, json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AS number, json_type(props, '$.k') = 'VARCHAR' AS text, count(*) AS n FROM events GROUP BY 1, 2, 3",
+        "json_lines": "SELECT n_regionkey, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'nation' ELSE 'unknown' END AS type, CASE WHEN n_nationkey % 3 = 2 THEN CAST(n_nationkey AS VARCHAR) END AS key FROM nation",
+        "json_fallback": "SELECT event_id, CASE WHEN event_id % 5 < 4 THEN CAST(json_extract(props, '$.k') AS INT) END AS k FROM events",
         "triplet_rows": f"""WITH c AS (SELECT item_id, {clean('head')} AS h, {clean('relation')} AS r, {clean('tail')} AS t, coalesce(nullif(trim(head_type, ' '), ''), '概念') AS k FROM {tri})
-SELECT item_id, count(*) AS n, count(DISTINCT h) AS n_heads, count(DISTINCT k) AS n_types FROM c WHERE h <> '' AND r <> '' AND t <> '' AND NOT regexp_matches(h, {punct}) AND NOT regexp_matches(t, {punct}) GROUP BY item_id""",
+SELECT item_id, count(*) AS n, count(DISTINCT h) AS n_heads, count(DISTINCT k) AS n_types FROM c WHERE h <> '' AND r <> '' AND t <> '' AND NOT {marks('h')} AND NOT {marks('r')} AND NOT {marks('t')} GROUP BY item_id""",
         "model_entities": "SELECT DISTINCT id, name, coalesce(label, '') AS type FROM entity_node WHERE name IS NOT NULL",
         "path_json": "SELECT triplet_id, tail AS target, relation FROM triplet WHERE head IS NOT NULL AND relation IS NOT NULL AND tail IS NOT NULL",
         "rows_to_csv": "SELECT n_regionkey, 'key,name' || chr(10) || string_agg(n_nationkey || ',' || n_name, chr(10) ORDER BY n_nationkey) AS csv FROM nation GROUP BY 1",
@@ -305,7 +355,7 @@ SELECT item_id, count(*) AS n, count(DISTINCT h) AS n_heads, count(DISTINCT k) A
 def queries() -> dict:
     names = """clean_text escape_text sanitize_names sanitize_relations default_types punctuation_names stop_names valid_entities complete_triplets remove_modifiers normalize_names
     strip_fences noise_chunks injection_suspects file_kinds url_stems object_keys file_hashes duplicate_texts changed_files embedding_texts clean_scans scan_statistics rate_spacing
-    formatted_times props_parsed json_repaired json_extracted json_validated triplet_rows model_entities path_json rows_to_csv csv_to_rows label_distribution fuzzy_standard_terms
+    formatted_times props_parsed json_repaired json_extracted json_validated json_lines json_fallback triplet_rows model_entities path_json rows_to_csv csv_to_rows label_distribution fuzzy_standard_terms
     standard_triplets""".split()
     return {n: globals()[n] for n in names}
 

@@ -55,7 +55,7 @@ def test_stop_reason(spark):
     assert one(spark, "近视", t.stop_reason) is None
 
 
-@pytest.mark.parametrize(("given_", "wanted"), [("近视", True), ("患者", False), ("某某医院", False), ("黄斑中心凹", True), ("http近视", False), ("a/b", False), ("眼", False), (None, False), ("挂号系统", False)])
+@pytest.mark.parametrize(("given_", "wanted"), [("近视", True), ("患者", False), ("某某医院", False), ("黄斑中心凹", True), ("http近视", False), ("a/b", False), ("眼", True), (None, False), ("挂号系统", False)])
 def test_valid_entity(spark, given_, wanted):
     assert one(spark, given_, t.is_valid_entity) is wanted
 
@@ -86,9 +86,58 @@ def test_extract_balanced(spark):
     assert {r[0]: r[1] for r in j.extract(df, "id", "s").collect()} == {1: '{"a": {"b": "}"}}', 2: None, 3: None, 4: "[1, 2]"}
 
 
-@pytest.mark.parametrize("raw", ['[{"name": "test", "type": "disease"}]', '{"entities": [{"name": "test", "type": "disease"}]}', '{"name": "test", "type": "disease"}', '{"entity": "test", "label": "disease"}'])
+@pytest.mark.parametrize("raw", ['[{"name": "test", "type": "disease"}]', '{"entities": [{"name": "test", "type": "disease"}]}', '{"name": "test", "type": "disease"}', '{"entity": "test", "category": "disease", "label": "x"}'])
 def test_entities(spark, raw):
-    assert [tuple(r) for r in one(spark, raw, j.entities)] == [("test", "disease")]
+    assert [(r["name"], r["type"]) for r in one(spark, raw, j.entities)] == [("test", "disease")]
+
+
+def test_entities_of_any_form(spark):
+    assert j.entities_of("near\nfar") == [("near", "unknown", {}), ("far", "unknown", {})]
+    assert j.entities_of('[{"text": "a", "category": "b", "page": 3}, "c", 4]') == [("a", "b", {"page": "3"}), ("c", "unknown", {})]
+    assert j.entities_of('{"head": "a", "relation": "r", "tail": "b", "n": 1}') == [(None, None, {"head": "a", "relation": "r", "tail": "b", "n": "1"})]
+    assert j.entities_of("Sure:\n```json\n{'entities': [{name: 'it's', type: 'x'},]\n```") == [("it's", "x", {})]
+    assert j.entities_of("") == j.entities_of(None) == []
+
+
+REPAIRS = {
+    '{"a": 1': {"a": 1}, "{'a': 'b'}": {"a": "b"}, '{a: 1, "b": [1, 2,], }': {"a": 1, "b": [1, 2]}, '{"a": [1, 2}': {"a": [1, 2]}, '{"a": 1}]': {"a": 1}, "[1, [2, 3]": [1, [2, 3]],
+    '{"u": "http://x.y"} // so': {"u": "http://x.y"}, '/* a */ {"a": 1 /* b */}': {"a": 1}, '{"a": "it\'s"}': {"a": "it's"}, "{'a': 'it's', 'b': None}": {"a": "it's", "b": None},
+    'so: {"a": {"b": 2}} done': {"a": {"b": 2}}, "{近视: True}": {"近视": True}, '{"a": "x\ny"}': {"a": "x\ny"}, "nothing": None, "": None, "3": 3, "{": {}, "[" * 5_000: None, "[{(": [{"": None}],
+}
+
+
+def test_repairs():
+    for raw, wanted in REPAIRS.items():
+        if wanted is None and raw.startswith("["):
+            assert isinstance(j.read(raw), list)
+        elif raw != "[{(":
+            assert j.read(raw) == wanted, raw
+    assert isinstance(j.read("[{("), list)
+
+
+def test_long_open_text_is_read_once():
+    import time
+
+    began = time.perf_counter()
+    assert j.balanced('{"a": [' * 60_000) is None and j.read("{" * 20_000 + "x") is not None
+    assert time.perf_counter() - began < 5
+
+
+def test_fields(spark):
+    assert one(spark, '{"k": 1, "s": "x"}', lambda c: j.has_fields(c, {"k": "number", "s": "string"})) is True
+    assert one(spark, '{"k": "1"}', lambda c: j.has_fields(c, {"k": "number"})) is False
+    assert one(spark, "[1]", lambda c: j.has_fields(c, {"k": "number"})) is False
+
+
+def test_rules_of_names(spark):
+    for name, good in {"眼": True, "EMR接口": False, "眼科中心一部": False, "中心凹": True, "患者": False, " 患者": True, "a" * 51: False, "": False}.items():
+        assert one(spark, name, t.is_valid_entity) is good, name
+    for name, bad in {" -": True, "℃": False, "→": False, "（）": False, "，。": True, "": True}.items():
+        assert one(spark, name, t.is_punctuation) is bad, name
+    for raw, hit in {"; DROP x": True, ";drop x": True, "exec (1)": True, "; dropping": False, "DELETE FROM x": False, "http://a": False}.items():
+        assert one(spark, raw, t.injection_suspect) is hit, raw
+    assert one(spark, "```markdown\n a \n\n b ```", t.clean_scan) == "a\nb" and one(spark, "a\n```\nb", t.clean_scan) == "a\n```\nb"
+    assert one(spark, "|a|b|\n|---|---|", t.needs_rescan) is False and one(spark, "a | b", t.needs_rescan) is True
 
 
 def test_triplets(spark):
