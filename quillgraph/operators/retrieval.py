@@ -140,13 +140,18 @@ def rewrite(text: Column, intent_name: Column) -> Column:
 
 
 def keyword_entities(text: Column, words: list[str] = vocab.ENTITY_KEYWORDS) -> Column:
-    """Keywords in the text, the longest first, each blanked out so that a shorter one inside it doesn't count."""
-    order = sorted(set(words), key=lambda w: (-len(w), w))
+    """Keywords in the text, the longest first (in the order of ``words`` among equals), each once, at its first place that no other has taken.
+
+    A place that is taken is blanked out at its length, so a shorter keyword
+    counts only where it stands by itself.
+    """
+    order = sorted(dict.fromkeys(words), key=len, reverse=True)
     start = F.struct(F.array().cast("array<string>").alias("found"), text.alias("rest"))
 
     def step(acc: Column, w: Column) -> Column:
-        met = F.contains(acc["rest"], w)
-        blank = F.regexp_replace(acc["rest"], F.concat(F.lit("\\Q"), w, F.lit("\\E")), F.lit("\x01"))
+        at, size = F.instr(acc["rest"], w), F.char_length(w)
+        blank = F.overlay(acc["rest"], F.repeat(F.lit("\x01"), size), at, size)
+        met = at > 0
         return F.struct(F.when(met, F.concat(acc["found"], F.array(w))).otherwise(acc["found"]).alias("found"), F.when(met, blank).otherwise(acc["rest"]).alias("rest"))
 
     return F.aggregate(F.array(*map(F.lit, order)), start, step, lambda acc: acc["found"])

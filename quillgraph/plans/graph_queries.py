@@ -40,14 +40,20 @@ def two_hop_limit(spark, d):
     return rows.orderBy("rel_1", "middle", "rel_2", "target").limit(50)
 
 
+def _asked(spark, d):
+    """The query set: heads of the triplets whose id is divisible by 50, against all edges."""
+    return table(spark, d, "triplet").where("triplet_id % 50 = 0 and trim(head) <> ''").select(F.col("head").alias("name")).distinct()
+
+
 def variable_length_paths(spark, d):
-    starts = g.degrees(_edges(spark, d).where(F.col("rel").isin(CLINICAL)), 6).select("name")
-    found = g.paths(_edges(spark, d), starts, 3, relations=CLINICAL)
+    """Paths of one to three edges of the clinical relations from each node of the query set, by length."""
+    found = g.paths(_edges(spark, d), _asked(spark, d), 3, relations=CLINICAL)
     return found.groupBy("start", "hops").agg(F.count(F.lit(1)).alias("n_paths"))
 
 
 def path_strings(spark, d):
-    found = g.paths(_edges(spark, d), _busiest(spark, d, 5), 1, direction="both", relations=CAUSES)
+    """Paths of one edge of a causal relation, in either direction, from each node of the query set."""
+    found = g.paths(_edges(spark, d), _asked(spark, d), 1, direction="both", relations=CAUSES)
     return found.select("start", g.path_text(F.col("nodes"), F.col("rels")).alias("path"))
 
 
@@ -174,7 +180,7 @@ def event_transitions(spark, d):
 
 
 def cooccurrence(spark, d):
-    """Pairs of types whose entities are named in the same item."""
+    """Pairs of types whose entities are named in the same item; types are few, where pairs of a large item's entities would be without bound."""
     t = table(spark, d, "triplet").where("item_id is not null")
     ends = t.select("item_id", F.explode(F.array(F.struct(F.trim("head_type").alias("k")), F.struct(F.trim("tail_type").alias("k")))).alias("e")).select("item_id", "e.k").where("k <> ''").distinct()
     return ends.select("item_id", F.col("k").alias("a")).join(ends.select("item_id", F.col("k").alias("b")), "item_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_items"))
@@ -233,11 +239,11 @@ def _sql() -> dict[str, str]:
         "two_hop_limit": f"""WITH {_E}, {_B}, {_D}, {steps}, top AS (SELECT name FROM dg ORDER BY degree DESC, name LIMIT 1)
 SELECT a.src AS start, a.rel AS rel_1, a.dst AS middle, c.rel AS rel_2, c.dst AS target FROM top JOIN k a ON a.src = top.name JOIN k c ON c.src = a.dst
 WHERE a.dst <> a.src AND c.dst <> a.src AND c.dst <> a.dst ORDER BY 2, 3, 4, 5 LIMIT 50""",
-        "variable_length_paths": f"""WITH RECURSIVE {_E}, {steps}, kb AS (SELECT src FROM k UNION ALL SELECT dst FROM k), st AS (SELECT src FROM kb GROUP BY src HAVING count(*) >= 6),
+        "variable_length_paths": f"""WITH RECURSIVE {_E}, {steps}, st AS (SELECT DISTINCT head AS src FROM triplet WHERE triplet_id % 50 = 0 AND trim(head) <> ''),
 p(start, last, nodes, hops) AS (SELECT st.src, k.dst, [k.src, k.dst], 1 FROM st JOIN k ON k.src = st.src WHERE k.dst <> k.src
 UNION ALL SELECT p.start, k.dst, list_append(p.nodes, k.dst), p.hops + 1 FROM p JOIN k ON k.src = p.last WHERE p.hops < 3 AND NOT list_contains(p.nodes, k.dst))
 SELECT start, hops, count(*) AS n_paths FROM p GROUP BY 1, 2""",
-        "path_strings": f"""WITH {_E}, {_B}, {_D}, top AS (SELECT name FROM dg ORDER BY degree DESC, name LIMIT 5)
+        "path_strings": f"""WITH {_E}, {_B}, top AS (SELECT DISTINCT head AS name FROM triplet WHERE triplet_id % 50 = 0 AND trim(head) <> '')
 SELECT src AS start, src || '->' || rel || '->' || dst AS path FROM b JOIN top ON top.name = b.src WHERE rel IN {_in(CAUSES)} AND src <> dst""",
         "shortest_path_hops": _hops(),
         "meta_path_hops": _hops(CAUSES),

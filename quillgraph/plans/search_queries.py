@@ -92,20 +92,28 @@ def chunk_metrics(spark, d):
     return _paragraphs(spark, d).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.round(F.avg(F.char_length("text")), 6).alias("mean_chars"))
 
 
+def _names(spark, d):
+    """Names of all entities, of two characters at least, and the terms of the domain."""
+    own = table(spark, d, "entity_node").where(F.char_length("name") >= 2).select(F.col("name").alias("term"))
+    return own.unionByName(spark.createDataFrame([(x,) for x in vocab.TERMS], "term string")).distinct()
+
+
 def mentions(spark, d):
-    terms = spark.createDataFrame([(x,) for x in vocab.TERMS], "term string")
+    """The entities that each document names."""
+    terms = _names(spark, d)
     return r.mentions(table(spark, d, "documents"), terms, "doc_id", "text").select("doc_id", "term")
 
 
 def inverted_index(spark, d):
-    """Postings of each term: documents and occurrences."""
-    terms = table(spark, d, "standard_entity").select(F.explode(F.array(F.expr("substring(term, 1, 2)"), F.expr("substring(term, -2, 2)"))).alias("term")).distinct()
-    found = r.mentions(table(spark, d, "documents"), terms, "doc_id", "text")
-    return found.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    """Postings (term, doc_id, n) of all terms of the reference list, their aliases and the terms of the domain."""
+    own = table(spark, d, "standard_entity").select(F.explode(F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("term"))
+    terms = own.unionByName(spark.createDataFrame([(x,) for x in vocab.TERMS], "term string")).where("term <> ''").distinct()
+    return r.mentions(table(spark, d, "documents"), terms, "doc_id", "text").select("term", "doc_id", "n")
 
 
 def keyword_counts(spark, d):
-    terms = spark.createDataFrame([(x,) for x in ("近视", "眼轴", "视网膜", "门诊")], "term string")
+    """How often each document names each entity keyword."""
+    terms = spark.createDataFrame([(x,) for x in vocab.ENTITY_KEYWORDS], "term string")
     return r.mentions(table(spark, d, "documents"), terms, "doc_id", "text")
 
 
@@ -124,7 +132,7 @@ def query_rewrite(spark, d):
 
 def keyword_entities(spark, d):
     found = r.keyword_entities(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.array_join(F.array_sort(found), ",").alias("entities")).where("entities <> ''")
+    return _docs(spark, d).select("doc_id", F.array_join(found, ",").alias("entities")).where("entities <> ''")
 
 
 def entity_linking(spark, d):
@@ -153,8 +161,9 @@ def hard_match_injected(spark, d):
 
 
 def enrichment(spark, d):
-    """Neighbours of each entity as sentences, one for each (neighbour, relation) of a source."""
-    near = g.neighbours(g.edges_of(table(spark, d, "triplet")), 10, ["导致", "并发", "见于"])
+    """Neighbours of each entity as sentences; a (neighbour, relation) once across all entities, with the first of them by name."""
+    near = g.neighbours(g.edges_of(table(spark, d, "triplet")), 10)
+    near = near.groupBy("neighbour", "rel").agg(F.min("name").alias("name"))
     types = g.node_types(table(spark, d, "triplet"))
     named = near.join(types.select(F.col("name").alias("neighbour"), F.col("type").alias("label")), "neighbour")
     return named.select("name", r.enrichment_text(F.col("neighbour"), F.col("label"), F.col("name"), F.col("rel")).alias("text"), F.lit(0.3).alias("score")).distinct()
@@ -282,10 +291,10 @@ SELECT doc_id, para_idx AS chunk_index, md5(concat_ws(chr(10) || chr(10), x, tex
         "next_edges": f"WITH {para} SELECT doc_id, para_idx, next_idx FROM (SELECT doc_id, para_idx, lead(para_idx) OVER (PARTITION BY doc_id ORDER BY para_idx) AS next_idx FROM p) WHERE next_idx IS NOT NULL",
         "line_runs_limited": f"SELECT page_id, CAST(len({keep}) AS INT) AS n_lines, md5(array_to_string({keep}, chr(10))) AS digest FROM (SELECT DISTINCT page_id, string_split(text, chr(10)) AS ls FROM ocr_page WHERE text IS NOT NULL)",
         "chunk_metrics": f"WITH {para} SELECT count(*) AS n, count(DISTINCT doc_id) AS n_docs, round(avg(length(text)), 6) AS mean_chars FROM p",
-        "mentions": f"SELECT doc_id, term FROM documents, (SELECT DISTINCT unnest({terms}) AS term) WHERE contains(text, term)",
-        "inverted_index": """WITH k AS (SELECT DISTINCT unnest([left(term, 2), right(term, 2)]) AS term FROM standard_entity)
-SELECT term, count(*) AS n_docs, min(doc_id) AS first_doc FROM documents, k WHERE contains(text, term) GROUP BY term""",
-        "keyword_counts": "SELECT doc_id, term, (length(text) - length(replace(text, term, ''))) // length(term) AS n FROM documents, (SELECT unnest(['近视', '眼轴', '视网膜', '门诊']) AS term) WHERE contains(text, term)",
+        "mentions": f"SELECT doc_id, term FROM documents, (SELECT unnest({terms}) AS term UNION SELECT name FROM entity_node WHERE length(name) >= 2) WHERE contains(text, term)",
+        "inverted_index": f"""WITH k AS (SELECT unnest({terms}) AS term UNION SELECT term FROM standard_entity WHERE term <> '' UNION SELECT unnest(aliases) FROM standard_entity)
+SELECT term, doc_id, (length(text) - length(replace(text, term, ''))) // length(term) AS n FROM documents, k WHERE term <> '' AND contains(text, term)""",
+        "keyword_counts": f"SELECT doc_id, term, (length(text) - length(replace(text, term, ''))) // length(term) AS n FROM documents, (SELECT DISTINCT unnest({lst(vocab.ENTITY_KEYWORDS)}) AS term) WHERE contains(text, term)",
         "intent_scores": f"SELECT doc_id, CASE WHEN b.s > 0 THEN b.i ELSE 'GENERAL' END AS intent, CAST(b.s AS INT) AS score FROM (SELECT doc_id, {best('text')} AS b FROM documents WHERE text IS NOT NULL)",
         "intent_fallback": f"SELECT doc_id, CASE WHEN b.s > 0 THEN b.i ELSE 'GENERAL' END AS intent, CASE WHEN b.s > 0 THEN round(least(0.3::DOUBLE + 0.15::DOUBLE * b.s, 0.9), 6) ELSE 0.3 END AS confidence FROM (SELECT doc_id, {simple} AS b FROM documents WHERE text IS NOT NULL)",
         "query_rewrite": f"""SELECT id, CASE WHEN {has(vocab.COMPARISONS, 'name')} > 0 THEN name ELSE concat_ws(' ', name, CASE WHEN w1 IS NOT NULL AND NOT contains(name, w1) THEN w1 WHEN w2 IS NOT NULL AND NOT contains(name, w2) THEN w2 END) END AS query
@@ -307,10 +316,10 @@ SELECT intent, rel, count(*) AS n FROM e JOIN r USING (rel) GROUP BY 1, 2""",
         "hit_entities": f"""SELECT doc_id, l[i] AS entity, CAST(i - 1 AS INT) AS place FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id,
 list_concat(CASE WHEN source <> '' THEN [source] ELSE [] END, list_filter({lst(vocab.ENTITY_KEYWORDS)}, lambda w: contains(text, w))) AS l FROM documents WHERE text IS NOT NULL))""",
         "merged_hits": "SELECT id, min(stage) AS stage FROM (SELECT id, 1 AS stage FROM entity_vector UNION ALL SELECT left_id, 0 FROM alignment_pair UNION ALL SELECT right_id, 0 FROM alignment_pair) WHERE id IS NOT NULL GROUP BY id",
-        "enrichment": f"""WITH {e}, b AS (SELECT src, rel, dst, 'out' AS d FROM e UNION SELECT dst, rel, src, 'in' FROM e), n AS (SELECT src, dst, rel, row_number() OVER (PARTITION BY src ORDER BY dst, rel, d) AS r FROM b WHERE rel IN ('导致', '并发', '见于')),
+        "enrichment": f"""WITH {e}, b AS (SELECT src, rel, dst, 'out' AS d FROM e UNION SELECT dst, rel, src, 'in' FROM e), n AS (SELECT src, dst, rel, row_number() OVER (PARTITION BY src ORDER BY dst, rel, d) AS r FROM b), o AS (SELECT dst, rel, min(src) AS src FROM n WHERE r <= 10 GROUP BY dst, rel),
 x AS (SELECT triplet_id, 0 AS o, head AS name, nullif(trim(head_type), '') AS type FROM triplet UNION ALL SELECT triplet_id, 1, tail, nullif(trim(tail_type), '') FROM triplet),
 t AS (SELECT name, coalesce(arg_min(type, (triplet_id, o)) FILTER (type IS NOT NULL), 'Entity') AS type FROM x WHERE trim(name) <> '' GROUP BY name)
-SELECT DISTINCT src AS name, dst || ' （' || type || '） 与' || src || '存在' || rel || '关系' AS text, 0.3::DOUBLE AS score FROM n JOIN t ON t.name = n.dst WHERE r <= 10""",
+SELECT DISTINCT src AS name, dst || ' （' || type || '） 与' || src || '存在' || rel || '关系' AS text, 0.3::DOUBLE AS score FROM o JOIN t ON t.name = o.dst""",
         "cosine_topk": f"WITH {near} SELECT query, id, cosine, place FROM n WHERE place <= 10",
         "rerank_funnel": f"""WITH {near}, k AS (SELECT n.query, n.id, n.place AS p, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS score FROM n JOIN embeddings a ON CAST(a.vec_id AS VARCHAR) = n.id JOIN embeddings b ON CAST(b.vec_id AS VARCHAR) = n.query WHERE n.place <= 50)
 SELECT query, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, p) AS place FROM k) WHERE place <= 3""",

@@ -21,15 +21,15 @@ def _nodes(spark, d):
 
 
 def cleaned_edges(spark, d):
-    return m.clean_nodes(_nodes(spark, d), _edges(spark, d), 20)[1].groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
+    return m.clean_nodes(_nodes(spark, d), _edges(spark, d))[1].groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
 
 
 def deleted_nodes(spark, d):
-    return m.clean_nodes(_nodes(spark, d), _edges(spark, d), 20)[2].select("name", "reason")
+    return m.clean_nodes(_nodes(spark, d), _edges(spark, d))[2].select("name", "reason")
 
 
 def restored_nodes(spark, d):
-    kept, _, deleted = m.clean_nodes(_nodes(spark, d), _edges(spark, d), 20)
+    kept, _, deleted = m.clean_nodes(_nodes(spark, d), _edges(spark, d))
     return m.restore_nodes(kept, deleted).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -44,7 +44,7 @@ def alignment_report(spark, d):
 
 
 def aligned_groups(spark, d):
-    return m.align(table(spark, d, "entity_node").select("id", "name").distinct(), _pairs(spark, d), 0.98)
+    return m.align(table(spark, d, "entity_node").select("id", "name").distinct(), _pairs(spark, d))
 
 
 def vector_groups(spark, d):
@@ -116,7 +116,7 @@ def running_max_progress(spark, d):
 
 
 def running_max_stream(spark, d):
-    found = p.drained(p.monotone_stream(_stream(spark, d), "user_id", "ts", "value", "event_id"), "append")
+    found = p.drained(p.monotone_stream(_stream(spark, d), "user_id", "ts", "value", "event_id", forget=30 * 86_400), "append")
     return found.select(F.col("seq").alias("event_id"), "shown")
 
 
@@ -150,7 +150,7 @@ def _sql() -> dict[str, str]:
     y = """x AS (SELECT triplet_id, 0 AS o, head AS name, nullif(trim(head_type), '') AS type FROM triplet UNION ALL SELECT triplet_id, 1, tail, nullif(trim(tail_type), '') FROM triplet),
 t AS (SELECT name, coalesce(arg_min(type, (triplet_id, o)) FILTER (type IS NOT NULL), 'Entity') AS type FROM x WHERE trim(name) <> '' GROUP BY name)"""
     stops = q("|".join(f"(?:{s})" for s in t.STOP_PATTERNS))
-    judged = f"j AS (SELECT *, CASE WHEN length(name) > 20 THEN 'Length > 20' WHEN regexp_matches(name, {stops}) THEN 'Matches Stop Pattern' END AS reason FROM t)"
+    judged = f"j AS (SELECT *, CASE WHEN length(name) > 15 THEN 'Length > 15' WHEN regexp_matches(name, {stops}) THEN 'Matches Stop Pattern' END AS reason FROM t)"
     pairs = "p AS (SELECT least(left_id, right_id) AS a, greatest(left_id, right_id) AS b, max(sim) AS cosine FROM alignment_pair WHERE left_id IS NOT NULL AND right_id IS NOT NULL AND left_id <> right_id AND sim IS NOT NULL AND NOT isnan(sim) GROUP BY 1, 2)"
     walk = "r(id, seen) AS (SELECT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.seen) SELECT min(seen) AS group_id, id FROM r GROUP BY id HAVING min(seen) < id"
     names = text_sql()["normalize_names"]
@@ -165,7 +165,7 @@ t AS (SELECT name, coalesce(arg_min(type, (triplet_id, o)) FILTER (type IS NOT N
         "restored_nodes": f"WITH {y}, {judged} SELECT type, count(*) AS n FROM j WHERE reason IS NULL OR reason LIKE '%Length%' GROUP BY type",
         "alignment_report": f"WITH {pairs} SELECT CASE WHEN cosine >= 0.92 THEN 'MERGE' ELSE 'REVIEW' END AS status, a, b, cosine FROM p WHERE cosine >= 0.85",
         "aligned_groups": f"""WITH RECURSIVE {pairs}, n AS ({norm_names}), k AS (SELECT id, name, min(id) OVER (PARTITION BY name) AS a FROM n WHERE name <> '' AND name <> 'Unknown_Entity'),
-l AS (SELECT a, id AS b FROM k WHERE id <> a UNION SELECT a, b FROM p WHERE cosine >= 0.98), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), {walk}""",
+l AS (SELECT a, id AS b FROM k WHERE id <> a UNION SELECT a, b FROM p WHERE cosine >= 0.92), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), {walk}""",
         "vector_groups": f"""WITH RECURSIVE l AS (SELECT lpad(CAST(x.vec_id AS VARCHAR), 9, '0') AS a, lpad(CAST(z.vec_id AS VARCHAR), 9, '0') AS b FROM embeddings x JOIN embeddings z ON x.vec_id < z.vec_id
 WHERE list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[])) >= 0.4), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), {walk}""",
         "migrated_edges": f"""WITH {e}, n AS ({norm_edges}), k AS (SELECT id, CASE WHEN name <> '' AND name <> 'Unknown_Entity' THEN min(id) OVER (PARTITION BY name) ELSE id END AS a FROM n),

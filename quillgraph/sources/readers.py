@@ -12,10 +12,23 @@ _PATHS = "path string, hash string"
 
 
 def files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """(path, kind, size, modified, content, hash) of the files under a folder with these suffixes; unreadable ones are left out."""
+    """(path, kind, size, modified, content, hash, error) of the files under a folder with these suffixes.
+
+    A file that is listed but can't be read is a row without content and with
+    an error. Listing reads no contents, so such files are those that are
+    missing among the ones read.
+    """
     glob = "*.{" + ",".join(extensions) + "}"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true").load(folder)
-    return raw.select("path", t.file_kind(F.col("path")).alias("kind"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content", F.md5("content").alias("hash"))
+
+    def found(skip: str) -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreCorruptFiles", skip).load(folder)
+
+    facts = ["path", t.file_kind(F.col("path")).alias("kind"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
+    good = found("true").where("content is not null").select(*facts, "content", F.md5("content").alias("hash"), F.lit(None).cast("string").alias("error"))
+    listed = found("false").select(*facts)
+    readable = good.where("hash is not null").select("path")
+    bad = listed.join(readable, "path", "left_anti").select("path", "kind", "size", "modified", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("hash"), F.lit("unreadable").alias("error"))
+    return good.unionByName(bad)
 
 
 def text_documents(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("txt", "md")) -> DataFrame:

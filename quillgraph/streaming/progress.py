@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -62,19 +63,42 @@ def monotone(events: DataFrame, client: str, at: str, value: str, order: str) ->
     return events.withColumn("shown", F.max(value).over(so_far))
 
 
-def monotone_stream(events: DataFrame, client: str, at: str, value: str, order: str) -> DataFrame:
-    """(client, seq, shown) of a stream: the running maximum is one number of state for a client, rows of a batch in order of time."""
+def monotone_stream(events: DataFrame, client: str, at: str, value: str, order: str, done: str | None = None, forget: int | None = None) -> DataFrame:
+    """(client, seq, shown) of a stream: the running maximum is one number of state for a client, rows of a batch in order of time.
+
+    ``done`` is a column that marks a client's final events: they are shown as
+    they are and end the client's state, so a later run begins anew. With
+    ``forget``, the state of a client that isn't heard of for so many seconds of
+    event time is dropped, and events later than that are too; without it, a
+    client's state stays.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(parts)).sort_values([at, order], kind="stable")
+        final = rows[done].fillna(False).astype(bool).to_numpy() if done else np.zeros(len(rows), bool)
         best = state.get[0] if state.exists else float("-inf")
-        shown = rows[value].cummax().clip(lower=best)
-        state.update((float(shown.iloc[-1]),))
+        # Runs end with a final event, which neither raises nor is raised.
+        run = np.concatenate([[0], np.cumsum(final)[:-1]])
+        shown = rows[value].astype(float).where(~final).groupby(run).cummax()
+        shown = shown.where(run > 0, shown.clip(lower=best)).where(~final, rows[value].astype(float))
+        if final[-1]:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((float(shown.iloc[-1]),))
+            if forget:
+                heard = int(rows[at].max().timestamp() * 1000)
+                state.setTimeoutTimestamp(max(heard + forget * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": key[0], "seq": rows[order].to_numpy(), "shown": shown.to_numpy()})
 
     out = f"client {kinds[client]}, seq {kinds[order]}, shown double"
-    return events.groupBy(client).applyInPandasWithState(step, out, "best double", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark(at, f"{forget} seconds") if forget else events
+    how = GroupStateTimeout.EventTimeTimeout if forget else GroupStateTimeout.NoTimeout
+    return timed.groupBy(client).applyInPandasWithState(step, out, "best double", "append", how)
 
 
 def alive(events: DataFrame, client: str, at: str, seconds: int = 3600, most: int = 1000) -> DataFrame:
@@ -93,9 +117,20 @@ def remaining(events: DataFrame, client: str, at: str, percent: str) -> DataFram
 
 
 def foreach_event(stream: DataFrame, tell: Callable[[list], None], checkpoint: str, most: int = 1000):
-    """A running query that hands each batch's rows, ``most`` at most, to a listener such as a progress bar."""
+    """A running query that hands every row to a listener such as a progress bar, ``most`` at a time.
+
+    Rows come to the driver partition by partition, so it holds one partition's
+    rows at most, and none is left out.
+    """
 
     def send(batch: DataFrame, _: int) -> None:
-        tell([r.asDict() for r in batch.limit(most).collect()])
+        held: list[dict] = []
+        for row in batch.toLocalIterator():
+            held.append(row.asDict())
+            if len(held) == most:
+                tell(held)
+                held = []
+        if held:
+            tell(held)
 
     return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).start()
