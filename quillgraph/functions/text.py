@@ -64,16 +64,17 @@ SYNONYMS = {
     "ICL": "ICL植入术", "AL": "眼轴长度", "IOP": "眼压", "K值": "角膜曲率",
 }
 
-PUNCTUATION_ONLY = "^[" + "".join("\\" + m for m in EMPTY_MARKS) + "]*$"
+PUNCTUATION_ONLY = "^[" + "".join("\\" + m for m in EMPTY_MARKS) + r"]*\z"
 _CJK = r"[\x{4e00}-\x{9fff}]"
+_BLANKS = r"[ \t\n\f\r]+"
 
 
 def clean_text(text: Column, remove_special: bool = True) -> Column:
-    """Without outer blanks, runs of blanks as one; ``_ ` " '`` removed if asked."""
-    out = F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without outer blanks, runs of blanks as one; ``_ ` " '`` removed if asked. Blanks are those of SQL's ``\\s``, without the vertical tab."""
+    out = F.regexp_replace(text, rf"^{_BLANKS}|{_BLANKS}\z", "")
     if remove_special:
         out = F.regexp_replace(out, "[_`\"']", "")
-    return F.regexp_replace(out, r"\s+", " ")
+    return F.regexp_replace(out, _BLANKS, " ")
 
 
 def escape_text(text: Column, longest: int = 1000) -> Column:

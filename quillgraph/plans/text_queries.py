@@ -203,7 +203,7 @@ def triplet_rows(spark, d):
     """Triplets read from model output, cleaned, punctuation and incomplete ones dropped, types defaulted."""
     found = _model_output(spark, d).select("item_id", F.explode(j.triplets(F.col("said"))).alias("x"))
     parts = found.select("item_id", *[t.clean_text(F.col(f"x.{c}")).alias(c) for c in ("head", "relation", "tail")], t.default_type(F.col("x.head_type")).alias("head_type"))
-    good = parts.where("head <> '' and relation <> '' and tail <> ''").where(~t.is_punctuation(F.col("head")) & ~t.is_punctuation(F.col("tail")))
+    good = parts.where(~t.is_punctuation(F.col("head")) & ~t.is_punctuation(F.col("relation")) & ~t.is_punctuation(F.col("tail")))
     return good.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("head").alias("n_heads"), F.countDistinct("head_type").alias("n_types"))
 
 

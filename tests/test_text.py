@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -146,6 +147,20 @@ def test_triplets(spark):
     assert one(spark, "nothing here", j.triplets) is None
 
 
+def test_triplet_rows_without_marks_alone(spark, tmp_path):
+    import __spark_entry__
+
+    tried = ["-", "，", "、。", "_ '", " ", "", None, "-\n", "r", "℃", "-\u2028", "a\x0bb", "\x0b", "a \u2028"]
+    rows = [(i, *(tried[i % 14] if i // 14 == k else f"{n}{i}" for k, n in enumerate("hrt")), None if i % 2 else "x", "y", i // 14) for i in range(42)]
+    rows.append((42, "h", "-", "t", "x", "y", 3))
+    spark.createDataFrame(rows, "triplet_id long, head string, relation string, tail string, head_type string, tail_type string, item_id long").write.parquet(f"{tmp_path}/triplet.parquet")
+    got = {tuple(r) for r in __spark_entry__.queries()["triplet_rows"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 6, 6, 2), (1, 6, 6, 2), (2, 6, 6, 2)}
+    db = duckdb.connect()
+    db.sql(f"create view triplet as select * from '{tmp_path}/triplet.parquet/*.parquet'")
+    assert got == set(db.sql(__spark_entry__.oracle_sql()["triplet_rows"]).fetchall())
+
+
 def test_rates(spark):
     assert one(spark, 120, t.request_spacing, "int") == pytest.approx(0.55)
     assert one(spark, 1_000_000, t.request_spacing, "int") == 0.01
